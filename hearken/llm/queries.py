@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from hearken.llm import simhash, tokens
+from hearken.llm import decontaminate, mixing, quality, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": mixing.op4_mixing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_ids": tokens.op9_token_ids,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
 
