@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from hearken.llm import decontaminate, mixing, quality, simhash, tokens, warc
+from hearken.llm import decontaminate, mixing, quality, simhash, tokens, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filters": urls.op3_url_filters,
     "op4_mixing": mixing.op4_mixing,
     "op6_warc": warc.op6_warc,
     "op7_simhash": simhash.op7_simhash,
