@@ -34,20 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm.common import table
+from hearken.llm.common import table, terms
 
 K1, B, THRESHOLD, SHINGLE, SIMILAR, ANSWER = 1.2, 0.75, 0.5, 5, 0.8, 0.5
 BLOCK, PART_WORDS = 4, 200_000
 HITS = "array<struct<item_id: bigint, bm25: double, overlap: double, question: double, answer: double>>"
-_SPACED = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
-def terms(text: str | None) -> list[bytes]:
-    """Lower-cased words; ASCII punctuation counts as white space."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split() if text else []
-
-
 def shingles(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
     if not words:
         return set()

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from hearken.llm import decontaminate, html, mixing, quality, simhash, tokens, urls, warc
+from hearken.llm import decontaminate, html, mixing, quality, simhash, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": html.op2_html_text,
     "op3_url_filters": urls.op3_url_filters,
     "op4_mixing": mixing.op4_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_warc": warc.op6_warc,
     "op7_simhash": simhash.op7_simhash,
     "op8_quality_rules": quality.op8_quality_rules,
