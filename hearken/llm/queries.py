@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from hearken.llm import decontaminate, html, mixing, quality, simhash, tokens, toxicity, urls, warc
+from hearken.llm import decontaminate, html, mixing, pii, quality, simhash, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
     "op2_html_text": html.op2_html_text,
     "op3_url_filters": urls.op3_url_filters,
     "op4_mixing": mixing.op4_mixing,
