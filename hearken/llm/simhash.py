@@ -4,9 +4,13 @@ Each of the 64 bits gets one of the 2**(r+1) - 1 non-zero vectors of r+1 bits; f
 bits whose vector has an odd product with v.  Any r differing bits have vectors that some v is orthogonal to, so under
 that v's mask the two fingerprints are equal: each pair within the radius collides in some table, with certainty.
 
+``classes`` links fingerprints of shingles within the radius and nothing else.  ``near_duplicates`` is for texts that are
+alike by their five-word shingles: edits change few distinct words, so fingerprints of the distinct words lie closer
+than those of shingles; the covering finds all texts within the wider radius, and links are then verified exactly.
+
 Only distinct fingerprints are compared; copies count as one.  A bucket of more than BUCKET fingerprints is dealt anew by a
-second covering of the bits its mask leaves out, after which a bucket's fingerprints agree in all but a dozen bits, so
-its size is bounded by their number; inside a bucket every pair within the radius is found, and a spanning
+second covering of the bits its mask leaves out, after which a bucket's fingerprints agree in all but a dozen or so
+bits, which bounds its size; inside a bucket every pair within the radius is found, and a spanning
 forest of these links, at most one row a fingerprint, leaves the task.
 
 Nulls and odd input: a null text is empty; a text without words has fingerprint zero, linked as any other.  A null doc_id
@@ -16,6 +20,7 @@ empty table gives none.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,28 +33,38 @@ from hearken.llm.common import stage, table, words_of
 from hearken.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
+#: Of near_duplicates: the radius between fingerprints of distinct words, the shingles' words, the least similarity, and the
+#: rounds in which texts of a component are held against its centre; texts left after them stay.
+WIDE_RADIUS, WORDS, SIMILAR, ROUNDS = 6, 5, 0.8, 8
 #: Distinct fingerprints that a first-level bucket may have before it is covered a second time.
 BUCKET = 1024
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The bits set in over half of the shingles' XXH64, as a signed long."""
-    from xxhash import xxh64_intdigest
-
-    words = words_of(text)
-    words = [w.lower() for w in words]  # bytes.lower() changes A-Z only
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    shingles = map(b" ".join, zip(*(words[i : i + n] for i in range(shingle)), strict=True)) if len(words) >= shingle else [b" ".join(words)]
-    ones = np.zeros(BITS, np.int64)
-    hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles], "<u8")
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of 64-bit hashes, as a signed long."""
+    n, ones = len(hashes), np.zeros(BITS, np.int64)
     for a in range(0, n, 1 << 16):
         part = hashes[a : a + (1 << 16)]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def hashed(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included; of the whole sequence if it has fewer words."""
+    from xxhash import xxh64_intdigest
+
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return np.array([xxh64_intdigest(s, SEED) for s in shingles], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Of a text's shingles in A-Z lower-cased words; with shingle 0, of its distinct words."""
+    words = [w.lower() for w in words_of(text)]  # bytes.lower() changes A-Z only
+    if not words:
+        return 0
+    return majority(hashed(words, shingle) if shingle else hashed(list(set(words)), 1))
+
+
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,15 +75,24 @@ def _fingerprints(shingle: int):
 
 
 def masks(radius: int, bits: list[int]) -> list[int]:
-    """Covering masks over the given bit places: 2**(radius+1) - 1 of them, as unsigned integers."""
-    vectors = {b: 1 + i % (2 ** (radius + 1) - 1) for i, b in enumerate(bits)}
-    return [sum(1 << b for b, x in vectors.items() if (x & v).bit_count() & 1) for v in range(1, 2 ** (radius + 1))]
+    """Covering masks over the given bit places: 2**(radius+1) - 1 of them, as unsigned integers.
+
+    Any assignment of vectors covers; of a few regular ones the one is taken whose smallest mask keeps most bits.
+    """
+    n = 2 ** (radius + 1) - 1
+
+    def of(step: int) -> list[int]:
+        vectors = {b: 1 + (i * step) % n for i, b in enumerate(bits)}
+        return [sum(1 << b for b, x in vectors.items() if (x & v).bit_count() & 1) for v in range(1, n + 1)]
+
+    return max((of(step) for step in range(1, min(n, 16), 2)), key=lambda found: min(m.bit_count() for m in found))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+@functools.cache
 def _tables(radius: int) -> list[tuple[int, list[int]]]:
     """First-level masks, each with those of its second level: they keep its bits and cover the others."""
     out = []
@@ -79,7 +103,8 @@ def _tables(radius: int) -> list[tuple[int, list[int]]]:
 
 
 def _keys(fp: Column, kept: list[int]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("t"), fp.bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(kept)]))
+    all_masks = F.array(*[F.lit(_signed(m)).cast("long") for m in kept])
+    return F.explode(F.transform(all_masks, lambda m, i: F.struct(i.alias("t"), fp.bitwiseAND(m).alias("k"))))
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -116,12 +141,10 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     keyed = fps.select("fp", _keys(F.col("fp"), [m for m, _ in tables])).select("fp", "col.t", "col.k")
     keyed = stage(keyed.withColumn("n", F.count("*").over(Window.partitionBy("t", "k"))).filter("n > 1"), "buckets")
     small = keyed.filter(F.col("n") <= bucket).groupBy("t", "k").agg(F.collect_list("fp").alias("fps"))
-    # the second level of a table has its masks at t * 1000 and after
-    chosen = F.lit(None)
-    for i, (_, kept) in reversed(list(enumerate(tables))):
-        rows = F.array(*[F.struct(F.lit(1000 * (i + 1) + j).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for j, m in enumerate(kept)])
-        chosen = F.when(F.col("t") == i, rows).otherwise(chosen)
-    large = keyed.filter(F.col("n") > bucket).select("fp", F.explode(chosen)).select("fp", "col.t", "col.k").groupBy("t", "k").agg(F.collect_list("fp").alias("fps"))
+    # as many rows as the square of the number of tables: 49 for radius 2, 16,129 for radius 6
+    level = fps.sparkSession.createDataFrame([(i, 1000 * (i + 1) + j, _signed(m)) for i, (_, kept) in enumerate(tables) for j, m in enumerate(kept)], "t int, t2 int, mask long")
+    dense = keyed.filter(F.col("n") > bucket).join(F.broadcast(level), "t").select("fp", "k", F.col("t2").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("k2"))
+    large = dense.groupBy("t", "k", "k2").agg(F.collect_list("fp").alias("fps")).select("t", "k", "fps")
     groups = small.unionByName(large).filter(F.size("fps") > 1).select("fps")
     return groups.mapInArrow(_links(radius), "u long, v long")
 
@@ -138,10 +161,71 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucke
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs that stay: of each class the row or rows with its smallest doc_id; of rows that share a doc_id, those
-    of one text.  Rows without a doc_id stay, as none can be told from another."""
-    gone = classes(docs, **settings).filter("doc_id <> component_id").select("doc_id").distinct()
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [np.unique(hashed([w.lower() for w in words_of(t.as_py())], WORDS)).tobytes() for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(got, pa.binary())], names=["key", "shingles"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for x, y in zip(b.column("shingles").to_pylist(), b.column("hub_shingles").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= SIMILAR * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("hub"), pa.array(out, pa.bool_())], names=["key", "hub", "same"])
+
+
+def near_duplicates(docs: DataFrame, radius: int = WIDE_RADIUS, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, text -> (doc_id, keeper): for every document the smallest doc_id of its group.
+
+    A group has the copies of one text, and the texts with SIMILAR of their five-word shingles in common with the group's
+    centre.  Candidates are the components of distinct-word fingerprints within the radius.  In each a centre is chosen, the
+    text whose fingerprint is nearest to the bitwise majority, and all texts are held against it, one comparison a text,
+    never all pairs; those that aren't alike go to the next round with a centre of their own.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = own.withColumn("key", F.sha2("text", 256))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = pa.array([fingerprint(t.as_py(), 0) for t in b.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), got], names=["doc_id", "key", "fp"])
+
+    fps = stage(rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key string, fp long"), "fingerprints")
+    texts = stage(fps.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "texts")
+    nodes = texts.groupBy("fp").agg(F.count("*").alias("n"))
+    roots = components(links(nodes.select("fp"), radius))
+    rooted = nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = stage(rooted, "rooted")
+    large = rooted.groupBy("root").agg(F.sum("n").alias("n")).filter("n > 1").select("root")
+    members = stage(texts.join(rooted.join(large, "root").select("fp", "root"), "fp").select("key", "least", "fp", "root"), "members")
+    chosen = rows.join(members.select("key", F.col("least").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"])
+    left = stage(members.join(chosen.select("key", "text").mapInArrow(_sets, "key string, shingles binary"), "key"), "candidates")
+    same = None
+    for _ in range(rounds):
+        bits = left.groupBy("root").agg(*[F.sum(F.getbit("fp", F.lit(i))).alias(f"b{i}") for i in range(BITS)], F.count("*").alias("n")).filter("n > 1")
+        centre = sum((F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0)) for i in range(1, BITS)), F.when(2 * F.col("b0") > F.col("n"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
+        far = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
+        hubs = left.join(bits.select("root", centre.alias("centre")), "root").groupBy("root").agg(F.min(F.struct(far.alias("d"), "least", "key")).alias("h"))
+        hubs = left.join(hubs.select(F.col("h.key").alias("key")), "key").select("root", F.col("key").alias("hub"), F.col("shingles").alias("hub_shingles"))
+        held = left.join(hubs, "root").select("key", "hub", "shingles", "hub_shingles").mapInArrow(_alike, "key string, hub string, same boolean")
+        held = stage(held, "held")
+        found = held.filter("same").select("key", "hub")
+        same = found if same is None else same.unionByName(found)
+        left = stage(left.join(held.filter("not same").select("key"), "key"), "candidates")
+        if left.isEmpty():
+            break
+    of_text = texts.join(same, "key", "left").select("key", "least", F.coalesce("hub", "key").alias("hub"))
+    keepers = of_text.groupBy("hub").agg(F.min("least").alias("keeper"))
+    return fps.join(of_text.join(keepers, "hub").select("key", "keeper"), "key").select("doc_id", "keeper")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each group of near duplicates the document with its smallest doc_id.  Rows without a doc_id
+    stay, as none can be told from another."""
+    gone = near_duplicates(docs).filter("doc_id <> keeper").select("doc_id").distinct()
     return docs.join(stage(gone, "gone"), "doc_id", "left_anti")
 
 
