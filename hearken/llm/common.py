@@ -51,6 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(docs: DataFrame, used: tuple[str, ...]) -> DataFrame:
+    """docs with its columns other than those used under names that clash with nothing; toDF(*names) brings them back."""
+    return docs.toDF(*[c if c in used else f"__aside_{i}" for i, c in enumerate(docs.columns)])
+
+
 def open_fs(uri: str):
     """The pyarrow file system of a URI of the shared folder, and the path in it."""
     from pyarrow import fs

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm.common import table, terms
+from hearken.llm.common import aside, table, terms
 
 K1, B, THRESHOLD, SHINGLE, SIMILAR, ANSWER = 1.2, 0.75, 0.5, 5, 0.8, 0.5
 BLOCK, PART_WORDS = 4, 200_000
@@ -212,7 +212,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORD
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text holds no item."""
-    return with_hits(docs, benchmark).filter(F.size("found") == 0).select(*docs.columns)
+    own = aside(docs, ("text",))
+    return with_hits(own, benchmark).filter(F.size("found") == 0).select(*own.columns).toDF(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm.common import stage, table
+from hearken.llm.common import aside, stage, table
 
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
@@ -187,9 +187,9 @@ def judged(rated: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, lang and others) that are kept, with docs' columns."""
-    cutoffs = cutoffs_for(docs, labels)
-    rated = measured(docs, docs.columns).withColumn("stratum", F.col("lang").cast("string"))
-    return judged(rated, cutoffs).filter("kept").select(*docs.columns)
+    own = aside(docs, ("doc_id", "text", "lang"))
+    rated = measured(own, own.columns).withColumn("stratum", F.col("lang").cast("string"))
+    return judged(rated, cutoffs_for(docs, labels)).filter("kept").select(*own.columns).toDF(*docs.columns)
 
 
 def rated_table(docs: DataFrame) -> DataFrame:

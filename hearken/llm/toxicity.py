@@ -94,7 +94,7 @@ def lexicon(docs: DataFrame, chosen: DataFrame) -> tuple[dict[str, float], float
     other = math.log(1 - DENSITY)
     for kind, (n1, n0) in sorted(sums.items()):
         if not n1 or not n0:
-            return {}, other
+            continue
         prior = F.lit(PRIOR) * (F.col("y1") + F.col("y0"))
         delta = F.log((F.col("y1") + prior) / n1) - F.log((F.col("y0") + prior) / n0)
         z = delta / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))
