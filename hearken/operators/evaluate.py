@@ -99,15 +99,14 @@ def threshold_for_fpr(peak: DataFrame, max_fpr: float, by: tuple[str, ...] = ())
 def calibrate(turns: DataFrame, max_fpr: float = 0.05, score: str = "p") -> DataFrame:
     """turns (dialogue_id, idx, label, action_idx, score) -> the accumulator and threshold with the largest share of alerts before
     the action, then the largest recall, at max_fpr; of equals the first in ACCUMULATORS.  One row."""
-    curve = None
-    for i, (mode, a) in enumerate(ACCUMULATORS):
-        own = curves.accumulate(turns, mode, a, score, "r", ("label", "action_idx")).select(F.lit(i).alias("k"), F.lit(mode).alias("mode"), F.lit(a).alias("a"), "dialogue_id", "idx", "label", "action_idx", "r")
-        curve = own if curve is None else curve.unionByName(own)
+    rows = turns.groupBy("dialogue_id", "label", "action_idx").agg(F.array_sort(F.collect_list(F.struct("idx", F.col(score).alias("p")))).alias("t"))
+    each = [F.struct(F.lit(i).alias("k"), F.lit(mode).alias("mode"), F.lit(a).alias("a"), curves.fold(F.col("t.p"), mode, a).alias("c")) for i, (mode, a) in enumerate(ACCUMULATORS)]
     keys = ("k", "mode", "a")
-    # (r, idx) in order of r: the first crossing of any threshold is the least idx with r at or above it
-    per = curve.groupBy(*keys, "dialogue_id", "label", "action_idx").agg(F.max("r").alias("peak"), F.collect_list(F.struct("idx", "r")).alias("c"))
+    # dialogues are gathered once; all accumulators are one projection of them
+    per = rows.select("dialogue_id", "label", "action_idx", F.col("t.idx").alias("i"), F.inline(F.array(*each))).withColumn("peak", F.coalesce(F.array_max("c"), F.lit(0.0)))
     th = threshold_for_fpr(per, max_fpr, keys)
-    alerts = per.join(F.broadcast(th), list(keys)).withColumn("alert_idx", F.coalesce(F.array_min(F.transform(F.filter("c", lambda x: x["r"] >= F.col("threshold")), lambda x: x["idx"])), F.lit(-1)))
+    reached = F.filter(F.arrays_zip("i", "c"), lambda x: x["c"] >= F.col("threshold"))
+    alerts = per.join(F.broadcast(th), list(keys)).withColumn("alert_idx", F.coalesce(F.array_min(F.transform(reached, lambda x: x["i"])), F.lit(-1)))
     points = operating_points(alerts, (*keys, "threshold")).join(early_share(alerts, keys), list(keys))
     return points.orderBy(F.desc("early_share"), F.desc("recall"), "k").limit(1).select("mode", "a", F.round("threshold", 6).alias("threshold"), "early_share", "precision", "recall", "f1", "fpr")
 

@@ -219,7 +219,7 @@ def topic_balance(s: SparkSession, d: str) -> DataFrame:
     return audit.topic_balance(fx.dialogues(s, d))
 
 
-_MARKERS = {"the": "\\bthe\\b", "und": "\\bund\\b", "digit": "[0-9]", "para": "\\bpara\\b"}
+_MARKERS = {"the": "(^| )the( |$)", "und": "(^| )und( |$)", "digit": "[0-9]", "para": "(^| )para( |$)"}
 _MARKER_SQL = " UNION ALL ".join(f"SELECT '{k}' AS marker, dialogue_id, any_value(label) AS label FROM turns WHERE regexp_matches(text, '(?i){p}') GROUP BY 2" for k, p in _MARKERS.items())
 
 

@@ -52,6 +52,11 @@ def split_of(key: Column) -> Column:
     return F.when(u < 0.7, "train").when(u < 0.85, "val").otherwise("test")
 
 
+def sql_round(x: str, digits: int = 4) -> str:
+    """Rounding of a double by its shortest decimal form, halves up, as Spark does."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE)"
+
+
 # The same as common table expressions.
 _SQUEEZED = r"trim(regexp_replace(d.text, '[ \t\n\r\f\x0B]+', ' ', 'g'))"
 SQL_TURNS = f"""
@@ -72,14 +77,16 @@ def _found(patterns: list[str]) -> str:
 
 
 SQL_FLAGS = (
-    "flagged AS (SELECT * EXCLUDE (text), [x FOR x IN ["
+    "flagged AS MATERIALIZED (SELECT * EXCLUDE (text), [x FOR x IN ["
     + ", ".join(f"CASE WHEN {_found(p)} THEN '{f}' END" for f, p, _, _ in CATALOG)
-    + "] IF x IS NOT NULL] AS flags, round(1 - "
-    + " * ".join(f"CASE WHEN {_found(p)} THEN CAST({1 - w!r} AS DOUBLE) ELSE 1 END" for _, p, w, _ in CATALOG)
-    + ", 4) AS risk FROM turns)"
+    + "] IF x IS NOT NULL] AS flags, "
+    + sql_round("1 - " + " * ".join(f"CASE WHEN {_found(p)} THEN CAST({1 - w!r} AS DOUBLE) ELSE CAST(1 AS DOUBLE) END" for _, p, w, _ in CATALOG))
+    + " AS risk FROM turns)"
 )
-SQL_SCORED = """
-scored AS (SELECT *, round(max(risk * power(CAST(0.9 AS DOUBLE), -idx)) OVER (PARTITION BY dialogue_id ORDER BY idx) * power(CAST(0.9 AS DOUBLE), idx), 4) AS score FROM flagged)"""
+SQL_SCORED = f"""
+fold AS (SELECT dialogue_id, idx, risk AS r FROM flagged WHERE idx = 0
+         UNION ALL SELECT t.dialogue_id, t.idx, greatest(t.risk, CAST(0.9 AS DOUBLE) * c.r) FROM fold c JOIN flagged t ON t.dialogue_id = c.dialogue_id AND t.idx = c.idx + 1),
+scored AS MATERIALIZED (SELECT t.*, {sql_round('f.r')} AS score FROM flagged t JOIN fold f ON f.dialogue_id = t.dialogue_id AND f.idx = t.idx)"""
 SQL_ACTION = """
 acts AS (SELECT dialogue_id, CAST(coalesce(min(CASE WHEN list_contains(flags, 'legal') THEN idx END), -1) AS INTEGER) AS action_idx FROM flagged GROUP BY 1),
 grid AS (SELECT unnest([CAST(0.6 AS DOUBLE), 0.7, 0.8, 0.9]) AS threshold),
@@ -88,10 +95,10 @@ alerts AS (SELECT threshold, s.dialogue_id, any_value(label) AS label, any_value
            FROM scored s JOIN acts a ON s.dialogue_id = a.dialogue_id CROSS JOIN grid GROUP BY 1, 2)"""
 SQL_PEAKS = "peaks AS (SELECT dialogue_id, any_value(label) AS label, max(score) AS peak FROM scored GROUP BY 1)"
 SQL_DIALOGUES = "dialogues AS (SELECT dialogue_id, label, topic, lang, difficulty, n_turns, n_turns_orig FROM turns WHERE idx = 0)"
-ALL = f"WITH {SQL_TURNS}, {SQL_FLAGS}, {SQL_SCORED}, {SQL_ACTION}, {SQL_PEAKS}, {SQL_DIALOGUES}"
+ALL = f"WITH RECURSIVE {SQL_TURNS}, {SQL_FLAGS}, {SQL_SCORED}, {SQL_ACTION}, {SQL_PEAKS}, {SQL_DIALOGUES}"
 TURNS = f"WITH {SQL_TURNS}, {SQL_DIALOGUES}"
 FLAGGED = f"WITH {SQL_TURNS}, {SQL_FLAGS}, {SQL_DIALOGUES}"
-CONV = f"WITH {SQL_CONVERSATIONS}"
+CONV = f"WITH RECURSIVE {SQL_CONVERSATIONS}"
 
 
 def sql_uniform(*keys: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ class RunningRisk(StatefulProcessor):
         shown = []
         for x in parts["risk"]:
             r = max(x, r * self.decay)
-            shown.append(round(r, 4))
+            shown.append(float(Decimal(repr(float(r))).quantize(Decimal("0.0001"), ROUND_HALF_UP)))  # as Spark rounds
         self.state.update((r, n + len(parts)))
         yield pd.DataFrame({"dialogue_id": [key[0]] * len(parts), "idx": parts["idx"].to_numpy(), "turn": range(n, n + len(parts)), "score": shown})
 
