@@ -14,8 +14,10 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from hearken.llm.elias_fano import EliasFano
 
 END_ID = 2
 #: Words with and without punctuation whose ids a worker remembers; others are encoded each time.  They bound memory only.
-CACHE_WORDS, CACHE_CORES = 250_000, 1_000_000
+CACHE_WORDS, CACHE_CORES = 250_000, 700_000
 _TAIL = ".,!?;:*#$%&|()-+@\""
 _MAGIC = b"EFID0001"
 _IDX_HEAD = "<8sBQQQ"
@@ -55,13 +57,16 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        if sys.byteorder != "little":
+            raise OSError("ids are written by machines of little-endian order")
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}  # " " + word and what follows it up to the next space
         self.cores: dict[str, bytes] = {}  # stretches as they are
 
     def _encode(self, stretches: list[str]) -> dict[str, bytes]:
         got = self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)
-        return {s: np.array(e.ids, self.kind).tobytes() for s, e in zip(stretches, got, strict=True)}
+        code = "H" if self.kind == "<u2" else "I"
+        return {s: array(code, e.ids).tobytes() for s, e in zip(stretches, got, strict=True)}
 
     @staticmethod
     def cut(text: str) -> list[str]:
