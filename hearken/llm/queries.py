@@ -24,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
 }

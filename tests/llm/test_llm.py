@@ -554,3 +554,22 @@ def test_pipeline_of_nothing(spark, none, small):
     for name, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, small)
         assert docs.count() == 0, name
+
+
+# queries with SQL
+
+
+def test_queries_equal_their_sql(spark, small):
+    import duckdb
+
+    from hearken.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        df, rel = QUERIES[name](spark, small), con.sql(sql)
+        cols = sorted(df.columns)
+        assert cols == sorted(rel.columns)
+        at = [rel.columns.index(c) for c in cols]
+        assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=str), name
