@@ -61,7 +61,7 @@ def dialogues(spark: SparkSession, n: int, taxonomy: dict[str, DataFrame], seed:
     rows = rows.withColumn("ended", F.coalesce(ends, F.lit(False))).withColumn("kept", F.when(F.col("ended"), F.slice(kept, 1, length)).otherwise(kept))
     closes = ~F.col("ended") & (_draw(seed, "close", F.col("n")) < P_CLOSE)
     return rows.select(
-        "n", F.format_string("QLK-%06d", F.col("n")).alias("dialogue_id"), "label", F.col("t.topic").alias("topic"), "scenario", F.col("p.profile").alias("victim_profile"),
+        "n", F.format_string("DLG-%06d", F.col("n")).alias("dialogue_id"), "label", F.col("t.topic").alias("topic"), "scenario", F.col("p.profile").alias("victim_profile"),
         F.col("language").alias("language_profile"), values.alias("slots"), F.when(F.col("ended"), F.element_at("kept", -1)).alias("terminated_early_at"),
         F.when(closes, F.concat("kept", F.array(F.lit(CLOSING)))).otherwise(F.col("kept")).alias("stages"),
     )

@@ -73,7 +73,7 @@ def segment_slice(notes: DataFrame, recordings: DataFrame) -> DataFrame:
     return recordings.join(notes, "call_id").select("call_id", "a", "b", F.slice("segments", F.col("a") + 1, F.greatest(F.lit(0), F.col("b") - F.col("a") + 1)).alias("segments"))
 
 
-def split_by_position(rows: DataFrame, order: Column, shares: tuple[float, float] = (0.7, 0.15), prefix: str = "QLK-") -> DataFrame:
+def split_by_position(rows: DataFrame, order: Column, shares: tuple[float, float] = (0.7, 0.15), prefix: str = "DLG-") -> DataFrame:
     """Rows numbered by an order and split by place: the first share train, the next val, the rest test.
 
     Numbers come from two levels, the rank inside a hash bucket and the rows before it, so no task holds all rows.

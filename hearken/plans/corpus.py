@@ -277,7 +277,7 @@ def communication_cost(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY {_MD5.format('c_custkey')}) - 1 AS pos, count(*) OVER () AS n FROM customer)
-SELECT c_custkey, format('QLK-{{:06d}}', pos) AS new_id, CASE WHEN pos < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN pos < floor(n * CAST(0.85 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM o""")
+SELECT c_custkey, format('DLG-{{:06d}}', pos) AS new_id, CASE WHEN pos < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN pos < floor(n * CAST(0.85 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM o""")
 def split_by_position(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "customer").select("c_custkey")
     return relate.split_by_position(rows, F.md5(F.col("c_custkey").cast("string").cast("binary")))

@@ -32,7 +32,7 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str, first:
     return rows.orderBy(*order).limit(first) if first is not None and order else rows if first is None else rows.limit(first)
 
 
-def read_sets(spark: SparkSession, pattern: str, exclude: str = r"(_sample$|^youtube_kz_asr)", schema: T.StructType = DIALOGUE) -> DataFrame:
+def read_sets(spark: SparkSession, pattern: str, exclude: str = r"(_sample$|_asr$)", schema: T.StructType = DIALOGUE) -> DataFrame:
     """All files of a pattern but the excluded ones, with the file's stem as set_name."""
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
     return spark.read.schema(schema).json(pattern).withColumn("set_name", stem).filter(~F.col("set_name").rlike(exclude))

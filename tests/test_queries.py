@@ -66,7 +66,7 @@ def test_files_round_trip(spark, tmp_path):
     back = files.read_dialogues(spark, f"file://{tmp_path}/d")
     assert back.count() == 40 and back.filter("size(turns) = 0").isEmpty()
     (tmp_path / "sets").mkdir()
-    for name in ("a", "b_sample", "youtube_kz_asr"):
+    for name in ("a", "b_sample", "calls_asr"):
         (tmp_path / "sets" / f"{name}.jsonl").write_text(json.dumps({"dialogue_id": name}) + "\nbroken\n")
     assert [r.set_name for r in files.read_sets(spark, f"file://{tmp_path}/sets/*.jsonl").filter("dialogue_id is not null").collect()] == ["a"]
     (tmp_path / "x.csv").write_text('id,text\n1,"a ""b""\nc"\n')
