@@ -227,7 +227,7 @@ def main_text(html: str | None) -> str:
         return ""
     candidates: dict[int, Node] = {}
     for node, text, linked in found:
-        up, first = node, True
+        up = node
         while up:
             up.chars += len(text)
             up.links += linked
@@ -244,7 +244,7 @@ def main_text(html: str | None) -> str:
                 candidates[id(up)] = up
                 up.score += _weight(up)
             up.score += points / (1, 2, 3, 6, 9, 12)[min(level, 5)]
-            up, level, first = up.parent, level + 1, False
+            up, level = up.parent, level + 1
     if not candidates:
         return " ".join(t for _, t, _ in found)
     of = {k: n.score * (1 - n.links / max(1, n.chars)) for k, n in candidates.items()}
