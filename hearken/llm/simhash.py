@@ -5,8 +5,7 @@ bits whose vector has an odd product with v.  Any r differing bits have vectors
 that v's mask the two fingerprints are equal: each pair within the radius collides in some table, with certainty.
 
 ``classes`` links fingerprints of shingles within the radius and nothing else.  ``near_duplicates`` is for texts that are
-alike by their five-word shingles: edits change few distinct words, so fingerprints of the distinct words lie closer
-than those of shingles; the covering finds all texts within the wider radius, and links are then verified exactly.
+alike by their five-word shingles, whose fingerprints lie too far apart for that: it finds them by an exact prefix filter.
 
 Only distinct fingerprints are compared; copies count as one.  A bucket of more than BUCKET fingerprints is dealt anew by a
 second covering of the bits its mask leaves out, after which a bucket's fingerprints agree in all but a dozen or so
@@ -33,9 +32,11 @@ from hearken.llm.common import stage, table, words_of
 from hearken.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
-#: Of near_duplicates: the radius between fingerprints of distinct words, the shingles' words, the least similarity, and the
-#: rounds in which texts of a component are held against its centre; texts left after them stay.
-WIDE_RADIUS, WORDS, SIMILAR, ROUNDS = 6, 5, 0.8, 8
+#: Of near_duplicates: the shingles' words and the least similarity.
+WORDS, SIMILAR = 5, 0.8
+#: Of similar_links: slots that shingles are counted in, texts whose shingles leave Python at a time, and pairs a row that are
+#: compared without further rounds.
+SLOTS, SLICE, FEW = 1 << 22, 128, 8
 #: Distinct fingerprints that a first-level bucket may have before it is covered a second time.
 BUCKET = 1024
 
@@ -141,7 +142,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     keyed = fps.select("fp", _keys(F.col("fp"), [m for m, _ in tables])).select("fp", "col.t", "col.k")
     keyed = stage(keyed.withColumn("n", F.count("*").over(Window.partitionBy("t", "k"))).filter("n > 1"), "buckets")
     small = keyed.filter(F.col("n") <= bucket).groupBy("t", "k").agg(F.collect_list("fp").alias("fps"))
-    # as many rows as the square of the number of tables: 49 for radius 2, 16,129 for radius 6
+    # as many rows as the square of the number of tables: 49 for radius 2
     level = fps.sparkSession.createDataFrame([(i, 1000 * (i + 1) + j, _signed(m)) for i, (_, kept) in enumerate(tables) for j, m in enumerate(kept)], "t int, t2 int, mask long")
     dense = keyed.filter(F.col("n") > bucket).join(F.broadcast(level), "t").select("fp", "k", F.col("t2").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("k2"))
     large = dense.groupBy("t", "k", "k2").agg(F.collect_list("fp").alias("fps")).select("t", "k", "fps")
@@ -161,65 +162,155 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucke
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def _parities(shingles: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of shingles is i by its low bits; as many bits as the next power of two of their number."""
+    bits = max(8, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount(shingles & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        got = [_shingle_set(t.as_py()) for t in b.column("text")]
+        yield pa.RecordBatch.from_pydict({"key": b.column("key"), "n": pa.array([len(x) for x in got], pa.int64()), "parities": pa.array([_parities(x) for x in got], pa.binary()), "shingles": pa.array([x.view("<u8").tobytes() for x in got], pa.binary())})
+
+
+def _perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Drops pairs whose parities differ in more bits than alike sets differ in shingles; folded to the fewer bits of the two."""
     for b in batches:
-        got = [np.unique(hashed([w.lower() for w in words_of(t.as_py())], WORDS)).tobytes() for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(got, pa.binary())], names=["key", "shingles"])
+        out = []
+        for n, m, x, y in zip(b.column("n").to_pylist(), b.column("hub_n").to_pylist(), b.column("parities").to_pylist(), b.column("hub_parities").to_pylist(), strict=True):
+            size = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, size)) for z in (x, y))
+            out.append(int(np.bitwise_count(x ^ y).sum()) <= (n + m) * (1 - SIMILAR) / (1 + SIMILAR) + 1e-6)
+        yield b.select(["key", "hub"]).filter(pa.array(out, pa.bool_()))
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for x, y in zip(b.column("shingles").to_pylist(), b.column("hub_shingles").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        for x, y in zip(b.column("shingles"), b.column("hub_shingles"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both >= SIMILAR * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([b.column("key"), b.column("hub"), pa.array(out, pa.bool_())], names=["key", "hub", "same"])
 
 
-def near_duplicates(docs: DataFrame, radius: int = WIDE_RADIUS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, text -> (doc_id, keeper): for every document the smallest doc_id of its group.
+def _shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(hashed([w.lower() for w in words_of(text)], WORDS)).view("<i8")
+
+
+def _prefixes(slots: np.ndarray, counts: np.ndarray, whole: bool = False):
+    """id, text -> a row (id, n, h) for each shingle h of a text's prefix, or of the whole text; n is their full number.
 
-    A group has the copies of one text, and the texts with SIMILAR of their five-word shingles in common with the group's
-    centre.  Candidates are the components of distinct-word fingerprints within the radius.  In each a centre is chosen, the
-    text whose fingerprint is nearest to the bitwise majority, and all texts are held against it, one comparison a text,
-    never all pairs; those that aren't alike go to the next round with a centre of their own.
+    The order of shingles is that of (the count of its slot if listed, h).  Copies in a batch give their rows once.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = own.withColumn("key", F.sha2("text", 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = pa.array([fingerprint(t.as_py(), 0) for t in b.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), got], names=["doc_id", "key", "fp"])
-
-    fps = stage(rows.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key string, fp long"), "fingerprints")
-    texts = stage(fps.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "texts")
-    nodes = texts.groupBy("fp").agg(F.count("*").alias("n"))
-    roots = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = stage(rooted, "rooted")
-    large = rooted.groupBy("root").agg(F.sum("n").alias("n")).filter("n > 1").select("root")
-    members = stage(texts.join(rooted.join(large, "root").select("fp", "root"), "fp").select("key", "least", "fp", "root"), "members")
-    chosen = rows.join(members.select("key", F.col("least").alias("doc_id")), ["key", "doc_id"]).dropDuplicates(["key"])
-    left = stage(members.join(chosen.select("key", "text").mapInArrow(_sets, "key string, shingles binary"), "key"), "candidates")
-    same = None
-    for _ in range(rounds):
-        bits = left.groupBy("root").agg(*[F.sum(F.getbit("fp", F.lit(i))).alias(f"b{i}") for i in range(BITS)], F.count("*").alias("n")).filter("n > 1")
-        centre = sum((F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0)) for i in range(1, BITS)), F.when(2 * F.col("b0") > F.col("n"), F.lit(1)).otherwise(F.lit(0)).cast("long"))
-        far = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
-        hubs = left.join(bits.select("root", centre.alias("centre")), "root").groupBy("root").agg(F.min(F.struct(far.alias("d"), "least", "key")).alias("h"))
-        hubs = left.join(hubs.select(F.col("h.key").alias("key")), "key").select("root", F.col("key").alias("hub"), F.col("shingles").alias("hub_shingles"))
-        held = left.join(hubs, "root").select("key", "hub", "shingles", "hub_shingles").mapInArrow(_alike, "key string, hub string, same boolean")
-        held = stage(held, "held")
-        found = held.filter("same").select("key", "hub")
-        same = found if same is None else same.unionByName(found)
-        left = stage(left.join(held.filter("not same").select("key"), "key"), "candidates")
-        if left.isEmpty():
+            at = dict(zip(b.column("id").to_pylist(), range(b.num_rows), strict=True))
+            ids, sets, sizes = [], [], []
+            for i, (key, row) in enumerate(at.items()):
+                found = _shingle_set(b.column("text")[row].as_py())
+                ids.append(key)
+                sizes.append(len(found))
+                if not whole:
+                    of = found & (SLOTS - 1)
+                    place = np.minimum(np.searchsorted(slots, of), max(len(slots) - 1, 0))
+                    often = np.where(slots[place] == of, counts[place], 0) if len(slots) else np.zeros(len(of), np.int64)
+                    found = found[np.lexsort((found, often))][: int(len(found) * (1 - SIMILAR) + 1e-6) + 1]
+                sets.append(found)
+                if i == len(at) - 1 or i % SLICE == SLICE - 1:
+                    kept = np.array([len(x) for x in sets])
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(np.array(ids, np.int64), kept)), "n": pa.array(np.repeat(np.array(sizes, np.int64), kept)), "h": pa.array(np.concatenate(sets))})
+                    ids, sets, sizes = [], [], []
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct (key, hub) -> those alike, as links (u, v)."""
+    short = sets.select("key", "n", "parities")
+    both = pairs.join(short.toDF("hub", "hub_n", "hub_parities"), "hub").join(short, "key").select("key", "hub", "n", "hub_n", "parities", "hub_parities")
+    near = stage(both.mapInArrow(_perhaps, "key long, hub long"), "near")
+    hubs = sets.select(F.col("key").alias("hub"), F.col("shingles").alias("hub_shingles"))
+    held = near.join(hubs, "hub").join(sets.select("key", "shingles"), "key").select("key", "hub", "shingles", "hub_shingles")
+    return stage(held.mapInArrow(_alike, "key long, hub long, same boolean").filter("same").select(F.col("key").alias("u"), F.col("hub").alias("v")), "verified")
+
+
+def _sizes_fit(n: str, m: str) -> Column:
+    return F.least(n, m) >= SIMILAR * F.greatest(n, m)
+
+
+def _frequent(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of shingles (their low bits) that are met far more often than others in a part of the texts, with counts.
+
+    This sets the order of shingles only: any order finds all pairs, rare shingles first give fewer candidates.
+    """
+    part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(min(16, max(1, n >> 13)))) == 0).select("id", "text")
+    none = np.zeros(0, np.int64)
+    each = part.mapInArrow(_prefixes(none, none, True), "id long, n long, h long")
+    slots = stage(each.groupBy(F.col("h").bitwiseAND(SLOTS - 1).alias("slot")).agg(F.count("*").alias("c")), "slots")
+    mean = (slots.agg(F.sum("c")).first()[0] or 0) / SLOTS
+    got = slots.filter(F.col("c") > mean + 8 * mean**0.5 + 8).orderBy("slot").toPandas()
+    return got["slot"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
+
+
+def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (doc_id, id, text) and their distinct texts (id, least) -> links (u, v) of pairs of ids with SIMILAR of their
+    shingles in common, that connect all such pairs.
+
+    Prefix filter: of n shingles in any common order, two alike texts share one of the first (1 - SIMILAR) * n + 1.  The texts
+    of a shingle are first held against one of them, in rounds with another one each while that joins many; then all pairs
+    of texts that share a prefix shingle and aren't joined yet are compared, so no pair is left out.
+    """
+    slots, counts = _frequent(rows, texts.count())
+    prefix = rows.select("id", "text").mapInArrow(_prefixes(slots, counts), "id long, n long, h long").repartition("h").dropDuplicates(["h", "id"])
+    entries = stage(prefix.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1").select("h", "id", "n"), "entries")
+    wanted = texts.join(entries.select("id").distinct(), "id").select("id", F.col("least").alias("of"))
+    chosen = rows.join(wanted.withColumnRenamed("id", "key"), F.col("id").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("key", "text")
+    sets = stage(chosen.dropDuplicates(["key"]).mapInArrow(_sets, "key long, n long, parities binary, shingles binary"), "sets")
+    found, labelled, before, k = None, entries.withColumn("label", F.col("id")), None, 0
+    while True:
+        groups = labelled.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("joined"))
+        open_ = stage(groups.filter("m * m > joined"), "open")
+        size = open_.agg(F.sum(F.col("m") * F.col("m") - F.col("joined")), F.sum("m")).first()
+        if not size[0]:
+            break
+        labelled = labelled.join(open_.select("h"), "h")
+        last = size[0] <= FEW * size[1] or before is not None and size[0] > 0.9 * before
+        if last:
+            one = labelled.groupBy("h", "label").agg(F.collect_list(F.struct("id", "n")).alias("x"))
+            other = one.select("h", F.col("label").alias("label2"), F.col("x").alias("y"))
+            both = one.join(other, "h").filter("label < label2").select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b"))
+            pairs = both.filter(_sizes_fit("a.n", "b.n")).select(F.col("a.id").alias("key"), F.col("b.id").alias("hub"))
+        else:
+            hubs = labelled.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("r"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("label").alias("label2"))).alias("b"))
+            pairs = labelled.join(hubs.select("h", "b.*"), "h").filter("label <> label2").filter(_sizes_fit("n", "m")).select(F.col("id").alias("key"), "hub")
+        same = _verified(pairs.distinct(), sets)
+        found = same if found is None else found.unionByName(same)
+        if last:
             break
-    of_text = texts.join(same, "key", "left").select("key", "least", F.coalesce("hub", "key").alias("hub"))
-    keepers = of_text.groupBy("hub").agg(F.min("least").alias("keeper"))
-    return fps.join(of_text.join(keepers, "hub").select("key", "keeper"), "key").select("doc_id", "keeper")
+        before, k = size[0], k + 1
+        roots = components(found)
+        labelled = stage(labelled.select("h", "id", "n").join(roots.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("label")), "labelled")
+    return texts.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0) if found is None else found
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, text -> (doc_id, keeper): for every document the smallest doc_id of its group.
+
+    Groups are the connected components of copies of one text and of texts with SIMILAR of their five-word shingles in common.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # the first 64 bits of a digest stand for a text
+    rows = own.withColumn("id", F.conv(F.substring(F.sha2("text", 256), 1, 16), 16, -10).cast("long"))
+    texts = stage(rows.groupBy("id").agg(F.min("doc_id").alias("least")), "texts")
+    roots = components(similar_links(rows, texts))
+    rooted = texts.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
+    rooted = stage(rooted, "rooted")
+    keepers = rooted.groupBy("root").agg(F.min("least").alias("keeper"))
+    return rows.select("doc_id", "id").join(rooted.join(keepers, "root").select("id", "keeper"), "id").select("doc_id", "keeper")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

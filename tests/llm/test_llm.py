@@ -1,6 +1,7 @@
 """The operators of hearken.llm against brute force, and what they do with odd input."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -392,6 +393,26 @@ def test_near_duplicates_keep_one_of_each_group(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 3, 6, 7, 8] or sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 3, 5, 6, 7, 8]
 
 
+def chained(texts):
+    """Groups of texts by exact similarity of all pairs, as the least index of each one's component."""
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+            lo, hi = sorted((root[i], root[j]))
+            root = [lo if r == hi else r for r in root]
+    return root
+
+
+def test_near_duplicates_of_one_vocabulary_are_all_compared(spark):
+    rng, texts = random.Random(6), []
+    for _ in range(40):  # 40 groups of 2 near copies over one shared vocabulary: one component of fingerprints
+        words = [f"w{i}" for i in rng.sample(range(120), 120)]
+        texts += [" ".join(words), " ".join(words[:118] + ["w0", "w1"])]
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.keeper for r in got} == dict(enumerate(chained(texts))) and len({r.keeper for r in got}) == 40
+
+
 # 8
 
 
