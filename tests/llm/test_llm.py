@@ -413,6 +413,23 @@ def test_near_duplicates_of_one_vocabulary_are_all_compared(spark):
     assert {r.doc_id: r.keeper for r in got} == dict(enumerate(chained(texts))) and len({r.keeper for r in got}) == 40
 
 
+def test_near_duplicates_are_joined_over_chains_of_edits(spark):
+    rng, texts = random.Random(8), []
+    for g in range(20):  # a text, five one-word edits, and a four-word edit of a four-word edit: like each other, not all like one centre
+        base = [f"g{g}w{rng.randint(0, 400)}" for _ in range(200)]
+
+        def edited(words, n, name):
+            out = list(words)
+            for at in rng.sample(range(200), n):
+                out[at] = f"{name}{at}"
+            return out
+
+        b = edited(base, 4, f"b{g}x")
+        texts += [" ".join(t) for t in (edited(b, 4, f"c{g}x"), b, base, *(edited(base, 1, f"e{g}x{i}y") for i in range(5)))]
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.keeper for r in got} == dict(enumerate(chained(texts))) and len({r.keeper for r in got}) < 24
+
+
 # 8
 
 
