@@ -364,7 +364,7 @@ def char_error_rate(s: SparkSession, d: str) -> DataFrame:
 def word_error_rate(s: SparkSession, d: str) -> DataFrame:
     rows = conversation_turns(s, d).select("dialogue_id", "idx", "text")
     after = rows.select("dialogue_id", (F.col("idx") - 1).alias("idx"), F.col("text").alias("ref"))
-    e = rows.join(after, ["dialogue_id", "idx"]).withColumn("e", tx.error_rates(F.substring("text", 1, 400), F.substring("ref", 1, 400)))
+    e = rows.join(after, ["dialogue_id", "idx"]).withColumn("e", tx.error_rates(F.col("text"), F.col("ref")))
     return e.select("dialogue_id", "idx", F.round("e.wer", 6).alias("wer"), F.round("e.cer", 6).alias("cer"), "e.n_words")
 
 

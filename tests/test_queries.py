@@ -53,6 +53,14 @@ def test_other_queries_give_rows(spark, small, name):
     assert plans.QUERIES[name](spark, small).count() > 0
 
 
+def test_word_error_rate_takes_whole_texts(spark, tmp_path):
+    same = " ".join(f"w{i}" for i in range(200))  # differs from character 400 on only
+    rows = [(1, 0, "user", same + " a b"), (1, 1, "assistant", same + " c d")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    r = plans.QUERIES["word_error_rate"](spark, str(tmp_path)).collect()
+    assert [(x.wer, x.n_words) for x in r] == [(round(2 / 202, 6), 202)] and r[0].cer == round(2 / len(rows[1][3]), 6)
+
+
 def test_learned_queries(spark, small):
     assert all(0 <= r.auc <= 1 for r in plans.QUERIES["federated_rounds"](spark, small).collect())
     assert {r.view for r in plans.QUERIES["probe_style"](spark, small).collect()} == {"punctuation", "lengths"}
