@@ -15,17 +15,18 @@ from hearken.sources.tables import labelled_turns, table
 
 
 def _views(s: SparkSession, d: str) -> DataFrame:
-    rows = labelled_turns(s, d, 6).groupBy("dialogue_id", "label").agg(F.array_sort(F.collect_list(F.struct("idx", "text")))["text"].alias("t"))
+    rows = labelled_turns(s, d, None).groupBy("dialogue_id", "label").agg(F.array_sort(F.collect_list(F.struct("idx", "text")))["text"].alias("t"))
     return rows.withColumn("held", tx.uniform(F.col("dialogue_id"), F.lit("probe")) < 0.3)
 
 
 @query()
 def probe_start(s: SparkSession, d: str) -> DataFrame:
-    """How well the first k turns alone tell the classes apart."""
+    """How well the first k turns alone tell the classes apart; without k, the whole dialogue."""
     rows, out = _views(s, d), []
-    for k in (1, 3):
-        view = rows.withColumn("tokens", learn.char_grams(F.array_join(F.slice("t", 1, k), " "), 2, 4))
-        out.append(learn.probe(view.filter("not held"), view.filter("held"), "tokens", 4.0).select(F.lit(k).alias("k"), F.round("auc", 2).alias("auc")))
+    for k in (1, 2, 3, None):
+        seen = F.col("t") if k is None else F.slice("t", 1, k)
+        view = rows.withColumn("tokens", learn.char_grams(F.array_join(seen, " "), 2, 4))
+        out.append(learn.probe(view.filter("not held"), view.filter("held"), "tokens", 4.0).select(F.lit(k).cast("int").alias("k"), F.round("auc", 2).alias("auc")))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -28,16 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_turns(spark: SparkSession, sf_dir: str, max_turns: int = MAX_TURNS) -> DataFrame:
+def labelled_turns(spark: SparkSession, sf_dir: str, max_turns: int | None = MAX_TURNS) -> DataFrame:
     """documents with labels as dialogues: a turn is a chunk of CHUNK words, toxic is the label.
 
-    dialogue_id, idx, text, label, topic, lang, difficulty, n_turns (after truncation), n_turns_orig.
+    dialogue_id, idx, text, label, topic, lang, difficulty, n_turns (after truncation), n_turns_orig.  Without max_turns all turns.
     """
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     turns = tx.chunk_words(F.col("text"), CHUNK)
     rows = both.select(F.col("doc_id").alias("dialogue_id"), F.col("toxic").alias("label"), F.col("source").alias("topic"), "lang", F.col("quality").alias("difficulty"), turns.alias("t"))
-    rows = rows.select("*", F.size("t").alias("n_turns_orig"), F.least(F.size("t"), F.lit(max_turns)).alias("n_turns"))
-    return rows.select("dialogue_id", "label", "topic", "lang", "difficulty", "n_turns", "n_turns_orig", F.posexplode(F.slice("t", 1, max_turns)).alias("idx", "text"))
+    rows = rows.select("*", F.size("t").alias("n_turns_orig"), (F.size("t") if max_turns is None else F.least(F.size("t"), F.lit(max_turns))).alias("n_turns"))
+    return rows.select("dialogue_id", "label", "topic", "lang", "difficulty", "n_turns", "n_turns_orig", F.posexplode("t" if max_turns is None else F.slice("t", 1, max_turns)).alias("idx", "text"))
 
 
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

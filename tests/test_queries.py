@@ -61,6 +61,15 @@ def test_word_error_rate_takes_whole_texts(spark, tmp_path):
     assert [(x.wer, x.n_words) for x in r] == [(round(2 / 202, 6), 202)] and r[0].cer == round(2 / len(rows[1][3]), 6)
 
 
+def test_probes_see_whole_dialogues(spark, tmp_path):
+    words = " ".join(f"w{i % 7}" for i in range(160))  # 8 turns: only what comes after them tells the classes apart
+    docs = [(i, words + (" stop!" if i % 2 else " stop?"), "en", "web") for i in range(80)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r.view: r.auc for r in plans.QUERIES["probe_style"](spark, str(tmp_path)).collect()}["punctuation"] == 1.0
+    assert [r.k for r in plans.QUERIES["probe_start"](spark, str(tmp_path)).collect()] == [1, 2, 3, None]
+
+
 def test_learned_queries(spark, small):
     assert all(0 <= r.auc <= 1 for r in plans.QUERIES["federated_rounds"](spark, small).collect())
     assert {r.view for r in plans.QUERIES["probe_style"](spark, small).collect()} == {"punctuation", "lengths"}
