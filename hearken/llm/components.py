@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearken.llm.common import stage
+from hearken.llm.common import stage, workspace
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,6 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     Only a count and a sum of hashes come to the driver.  A node with very many neighbours is met by joins, which
     Spark can split, never by a gathered list.
     """
+    with workspace(edges.sparkSession) as keep:
+        return keep(_stars(edges), "components")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _state(now)
     while seen[0]:
