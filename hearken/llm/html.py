@@ -5,8 +5,8 @@ never text.  Every paragraph-like block scores points for its length and its com
 full, to its grandparent by half and to further ancestors by ever less; a container's points are discounted by its
 link density, the share of its characters that lie in links, and by what its tag, class and id say.  The container
 with the most points is kept, with those siblings that have a fifth of them or are text of the same kind.  Inside what is
-kept, menus, headers of the page, footers, sidebars, notices, adverts, forms and reader comments are left out, and short
-blocks that are mostly links.
+kept, menus, headers of the page, footers, sidebars, notices, adverts, forms and reader comments are left out, by their tag,
+role or name, and nothing else: links, captions and short blocks are the article's own.
 
 Text: character references are decoded, white space in a block is one space, blocks follow in page order with one space
 between them.
@@ -30,9 +30,9 @@ from hearken.llm.common import table
 
 MAX_DEPTH = 400
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select button canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object select button canvas audio video xmp noembed noframes".split())
 #: Tags whose content is never part of the main text.
-DROPPED = frozenset("nav footer aside form menu dialog head fieldset figcaption label legend".split()) | RAW
+DROPPED = frozenset("nav footer aside form menu dialog head".split()) | RAW
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption dialog hgroup search".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -44,13 +44,18 @@ CLOSES = {
 }
 #: Open tags beyond which CLOSES doesn't look.
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-_BAD_WORD = (
-    r"(?:ad|ads|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|comment|comments|commentlist|disqus|discussion|replies|respond|response|"
-    r"sidebar|side-bar|aside|menu|menus|nav|navbar|navigation|breadcrumb\w*|footer|foot|masthead|topbar|cookie|cookies|consent|gdpr|notice|notices|"
-    r"notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|"
-    r"widget|pager|pagination|toolbar|skip|skip-link|tags|tagcloud|copyright|legal|disclaimer|outbrain|taboola|shoutbox|alert|announcement|paywall)"
-)
-BAD = re.compile(rf"(?:^|[\s_-]){_BAD_WORD}(?=$|[\s_-]|\d)", re.I)
+_AT, _TO = r"(?:^|[\s_-])", r"(?=$|[\s_-]|\d)"
+#: Names of what is never main text, in any place: adverts, menus, headers and footers of the page, sidebars, notices, forms,
+#: reader comments.
+NEVER = re.compile(
+    _AT + r"(?:ad|ads|advert\w*|adsense|adbox|banner|sponsor\w*|promo|promotion|menu|menus|nav|navbar|navigation|breadcrumbs?|masthead|topbar|footer|sidebar|side-bar|"
+    r"cookies?|consent|gdpr|notice|notices|notification|popup|modal|newsletter|subscribe|signup|login|comment|comments|commentlist|disqus)" + _TO, re.I
+)
+#: Names that tell against a container when it is chosen, but not against a block inside the chosen one.
+DOUBTED = re.compile(
+    _AT + r"(?:aside|discussion|replies|respond|response|foot|overlay|subscription|share|sharing|social|related|recommended|recommendations|widget|pager|pagination|toolbar|"
+    r"skip|skip-link|tags|tagcloud|copyright|legal|disclaimer|outbrain|taboola|shoutbox|alert|announcement|paywall)" + _TO, re.I
+)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|text|story|hentry|blog|column)(?=$|[\s_-]|\d)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -154,8 +159,7 @@ def dropped(node: Node) -> bool:
         return True
     if node.tag in ("html", "body", "article", "main"):
         return False
-    own = f"{names.get('class', '')} {names.get('id', '')}"
-    return bool(BAD.search(own)) and not (GOOD.search(own) and node.tag in ("div", "section") and not re.search(r"comment|\bad(?:s|vert)|sidebar|cookie", own, re.I))
+    return bool(NEVER.search(f"{names.get('class', '')} {names.get('id', '')}"))
 
 
 def _inside(node: Node, tags: tuple[str, ...]) -> bool:
@@ -213,7 +217,7 @@ def _weight(node: Node) -> float:
     own, names = _WEIGHT.get(node.tag, 0), node.named()
     for k in ("class", "id"):
         if names.get(k):
-            own += 25 * bool(GOOD.search(names[k])) - 25 * bool(BAD.search(names[k]))
+            own += 25 * bool(GOOD.search(names[k])) - 25 * bool(NEVER.search(names[k]) or DOUBTED.search(names[k]))
     return own
 
 
@@ -265,11 +269,11 @@ def main_text(html: str | None) -> str:
             if of.get(id(other), 0) + (0.2 * top if same else 0) >= max(10, 0.2 * top) or (other.tag in PARAGRAPHS and other.chars and density < 0.25):
                 kept.add(id(other))
     out = []
-    for node, text, linked in found:
+    for node, text, _ in found:
         up = node
         while up and id(up) not in kept:
             up = up.parent
-        if up and not (linked > 0.6 * len(text) and node.tag in ("li", "div", "ul", "td") and len(text) < 200):
+        if up:
             out.append(text)
     return " ".join(out)
 
