@@ -7,10 +7,12 @@ run in one table of hosts over one table of host edges, each weighted by the sha
 that a host without links would lose returns to the seeds.  A host is blocked if distrust makes up BLOCK_SHARE of what
 reaches it.
 
-Seeds: a host is trusted by the pages that allow rules name on it, if rules block none there; it is blocked if its name
-holds one of BLOCKED_TERMS.  Further seeds can be given as tables.
+Seeds come from the rules: a host is trusted by the pages that allow rules name on it, if rules block none there; it is blocked
+by the pages that rules block, if they are SEED_SHARE of its pages at least and none is allowed, so that one blocked path doesn't
+give up a whole host.  Further seeds can be given as tables, or as terms that a part of the host's name must equal.
 
-Rounds go on until neither vector moves by EPSILON, each written to the shared folder.  Hosts join by name; a host with very
+Rounds go on until neither vector moves by EPSILON, each written to the shared folder; a round shrinks the movement by the
+damping at least, so there is an end.  Hosts join by name; a host with very
 many links is summed before it is joined, so no task gets its links together.
 
 Nulls and odd input: a null url, or one without ://, has empty host and path, which no rule fits, and is allowed; a null
@@ -22,12 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm.common import stage, table
+from hearken.llm.common import stage, table, workspace
 
 #: (host, path, verdict); fixed values.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-BLOCKED_TERMS = ["adult", "casino", "pills", "spam", "bets", "ads"]
-DAMPING, EPSILON, MAX_ROUNDS, BLOCK_SHARE = 0.85, 1e-4, 60, 0.5
+DAMPING, EPSILON, BLOCK_SHARE, SEED_SHARE = 0.85, 1e-4, 0.5, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,6 +74,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 def standings(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, epsilon: float = EPSILON) -> DataFrame:
     """hosts (host, trusted, blocked: seed weights) and edges (src, dst, n) -> (host, trust, distrust)."""
+    with workspace(hosts.sparkSession) as keep:
+        return keep(_propagated(hosts, edges, damping, epsilon), "standings")
+
+
+def _propagated(hosts: DataFrame, edges: DataFrame, damping: float, epsilon: float) -> DataFrame:
     ends = edges.select(F.col("src").alias("host")).union(edges.select(F.col("dst").alias("host"))).distinct()
     known = hosts.groupBy("host").agg(F.sum("trusted").alias("trusted"), F.sum("blocked").alias("blocked"))
     known = stage(known.join(ends, "host", "full").na.fill(0.0, ["trusted", "blocked"]), "hosts")
@@ -86,7 +92,7 @@ def standings(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, epsi
     flow = both.select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("n") / F.col("out_n")).alias("wt"), F.lit(0.0).alias("wd"))
     flow = stage(flow.unionByName(both.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("wt"), (F.col("n") / F.col("in_n")).alias("wd"))), "flow")
     now = stage(known.select("host", "st", "sd", F.col("st").alias("trust"), F.col("sd").alias("distrust")), "standing")
-    for _ in range(MAX_ROUNDS):
+    while True:
         moved = flow.join(now.select(F.col("host").alias("a"), "trust", "distrust"), "a").groupBy(F.col("b").alias("host")).agg(F.sum(F.col("wt") * F.col("trust")).alias("gt"), F.sum(F.col("wd") * F.col("distrust")).alias("gd"))
         moved = stage(moved, "moved")
         got = moved.agg(F.coalesce(F.sum("gt"), F.lit(0.0)), F.coalesce(F.sum("gd"), F.lit(0.0))).first()
@@ -103,15 +109,14 @@ def standings(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, epsi
     return now.select("host", "trust", "distrust")
 
 
-def judged(pages: DataFrame, rules=RULES, blocked_terms=BLOCKED_TERMS, trusted: DataFrame | None = None, blocked: DataFrame | None = None, block_share: float = BLOCK_SHARE) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, blocked_terms: tuple[str, ...] = (), trusted: DataFrame | None = None, blocked: DataFrame | None = None, block_share: float = BLOCK_SHARE) -> DataFrame:
     """pages (page_id, url, html) -> page_id, host, path, rule, verdict, trust, distrust.  trusted, blocked: (host)."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("html").cast("string").alias("html"))
     ruled = own.withColumn("r", rule_for(F.col("host"), F.col("path"), rules))
-    by_name = F.lit(False)
-    for term in blocked_terms:
-        by_name |= F.contains("host", F.lit(term))
-    counts = ruled.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("r.verdict") == "allow").alias("a"), F.count_if(F.col("r.verdict") == "block").alias("b"))
-    seeds = counts.select("host", F.when((F.col("b") == 0) & ~by_name, F.col("a").cast("double")).otherwise(0.0).alias("trusted"), F.when(by_name, 1.0).otherwise(0.0).alias("blocked"))
+    by_name = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, blocked_terms)).cast("array<string>"))
+    counts = ruled.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("r.verdict") == "allow").alias("a"), F.count_if(F.col("r.verdict") == "block").alias("b"), F.count("*").alias("n"))
+    as_blocked = F.when(by_name, F.greatest("b", F.lit(1))).when((F.col("a") == 0) & (F.col("b") >= SEED_SHARE * F.col("n")), F.col("b")).otherwise(0)
+    seeds = counts.select("host", F.when((F.col("b") == 0) & ~by_name, F.col("a")).otherwise(0).cast("double").alias("trusted"), as_blocked.cast("double").alias("blocked"))
     for more, kind in ((trusted, "trusted"), (blocked, "blocked")):
         if more is not None:
             seeds = seeds.unionByName(more.select("host", *[F.lit(float(kind == k)).alias(k) for k in ("trusted", "blocked")]))
