@@ -1,9 +1,10 @@
 """Benchmark decontamination by BM25 with block-max WAND (operator 10).
 
 The test items make an inverted index.  An item's impacts are divided by the score it would give itself, so a score is the
-share of the item's BM25 weight that a passage holds, and one threshold serves all items.  Items lie in blocks of BLOCK;
-a term has its largest impact for each block.  A training text is cut into overlapping passages such that every
-stretch as long as the longest item lies whole in one of them, and each passage is a query:
+share of the item's BM25 weight that a passage holds, and one threshold serves all items.  Items are in classes by length, a
+class being at most twice as long as the one before, and in blocks of BLOCK; a term has its largest impact for each block
+it is in.  For each class a training text is cut into overlapping passages such that every stretch as long as the
+class's longest item lies whole in one of them, and each passage is a query:
 
 1. a bound from each term's largest impact anywhere; a passage below the threshold can hold no item and is passed over;
 2. bounds from the block maxima; blocks below the threshold are passed over;
@@ -15,7 +16,8 @@ the share of the item's five-word shingles that the passage has, the same for it
 sentence) and answer (the last).  A text is contaminated if it has 0.8 of an item's shingles, or 0.8 of the question's and
 half of the answer's.
 
-The index is broadcast in parts of at most PART_WORDS words of items; more items take more passes, never more memory.
+The index is broadcast in parts of at most PART_WORDS words of items (a longer item alone); it holds a number a posting, so
+its memory grows with a part's words, and more items take more passes.
 
 Nulls and odd input: a null or empty text has no hits; null and empty items, and those without a word, are left out; an item
 of fewer than five words is one shingle.  Items of one text are all named.  Repeated rows each have a result;
@@ -37,7 +39,8 @@ from pyspark.sql import functions as F
 from hearken.llm.common import aside, table, terms
 
 K1, B, THRESHOLD, SHINGLE, SIMILAR, ANSWER = 1.2, 0.75, 0.5, 5, 0.8, 0.5
-BLOCK, PART_WORDS = 4, 200_000
+#: Items in a block, words of items in a part of the index, and words of items that are all of the shortest class.
+BLOCK, PART_WORDS, LEAST = 4, 200_000, 127
 HITS = "array<struct<item_id: bigint, bm25: double, overlap: double, question: double, answer: double>>"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -58,53 +61,47 @@ def question_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[: (len(words) + 1) // 2], words[(len(words) + 1) // 2 :]
 
 
-class Index:
-    """Postings of items with impacts normalised by the item's own score, in blocks of BLOCK items."""
+class Blocks:
+    """Items of like lengths in blocks of BLOCK, with their postings: impacts by term, then block, then item.
 
-    def __init__(self, items: list[tuple[int, str]]):
-        words = [terms(t) for _, t in items]
-        # items that share words lie side by side, so block maxima are close to what one item holds
-        order = sorted((i for i in range(len(items)) if words[i]), key=lambda i: (sorted(Counter(words[i]).items(), key=lambda x: (-x[1], x[0]))[0], items[i][0], i))
-        self.ids = [items[i][0] for i in order]
-        self.words = [words[i] for i in order]
-        self.parts = [question_answer(items[i][1]) for i in order]
-        n, mean = len(order), sum(map(len, self.words)) / max(1, len(order))
-        seen = Counter(w for ws in self.words for w in set(ws))
-        idf = {w: math.log1p((n - c + 0.5) / (c + 0.5)) for w, c in seen.items()}
-        self.vocab = {w: i for i, w in enumerate(sorted(seen))}
-        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)  # by term and block
-        self.longest = max(map(len, self.words), default=1)
-        self.n_blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((len(self.vocab) + 1, self.n_blocks), np.float32)  # the last row is for unknown words
-        for d, ws in enumerate(self.words):
-            own = {w: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean)) for w, tf in Counter(ws).items()}
-            whole = sum(own.values())
-            for w, x in own.items():
-                t = self.vocab[w]
-                self.postings[t, d // BLOCK].append((d, x / whole))
-                self.block_max[t, d // BLOCK] = max(self.block_max[t, d // BLOCK], x / whole * (1 + 1e-6))
-        self.top = self.block_max.max(axis=1) if self.n_blocks else np.zeros(1, np.float32)
-        self.shingles = [shingles(ws) for ws in self.words]
-        self.part_shingles = [(shingles(q), shingles(a)) for q, a in self.parts]
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        get, none = self.vocab.get, len(self.vocab)
-        return np.array([get(w, none) for w in words], np.int32)
+    tops: a term's largest impact anywhere; an entry is a term in a block, with its largest impact there and its postings.
+    """
 
-    def retrieve(self, query: np.ndarray, threshold: float) -> dict[int, float]:
-        """Items whose score is at least the threshold, for a passage's distinct term numbers."""
-        query = query[query < len(self.vocab)]
+    def __init__(self, impacts: list[tuple[int, dict[int, float]]], n_terms: int, longest: int):
+        self.stride, self.n_blocks = longest, -(-len(impacts) // BLOCK)
+        rows = np.array([(t, i // BLOCK, d) for i, (d, own) in enumerate(impacts) for t in own], np.int64).reshape(-1, 3)
+        score = np.array([x for _, own in impacts for x in own.values()], np.float64)
+        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+        (term, block, self.items), self.scores = rows[order].T, score[order]
+        first = np.flatnonzero(np.diff(term * self.n_blocks + block, prepend=-1))
+        self.posting = np.append(first, len(term))
+        self.block, self.most = block[first], np.maximum.reduceat(self.scores, first) * (1 + 1e-9)
+        self.entry = np.searchsorted(term[first], np.arange(n_terms + 1))
+        self.tops = np.zeros(n_terms + 1)  # the last is for unknown words
+        np.maximum.at(self.tops, term[first], self.most)
+        self.top, self.unknown = self.tops.tolist(), {n_terms}
+
+    def retrieve(self, passage: list[int], threshold: float) -> dict[int, float]:
+        """Items whose score is at least the threshold, for a passage's term numbers."""
+        known = set(passage)
+        if sum(map(self.top.__getitem__, known)) < threshold:
+            return {}
+        query = np.fromiter(known.difference(self.unknown), np.int64)
+        low = self.entry[query]
+        n = self.entry[query + 1] - low
+        entries = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
+        blocks = self.block[entries]
         found: dict[int, float] = {}
-        bounds = self.block_max[query].sum(axis=0, dtype=np.float64)
-        for block in np.flatnonzero(bounds >= threshold):
-            found |= self._wand(query, int(block), threshold)
+        bounds = np.bincount(blocks, self.most[entries], self.n_blocks)
+        for b in np.flatnonzero(bounds >= threshold):
+            found |= self._wand(entries[blocks == b].tolist(), threshold)
         return found
 
-    def _wand(self, query: np.ndarray, block: int, threshold: float) -> dict[int, float]:
+    def _wand(self, entries: list[int], threshold: float) -> dict[int, float]:
         lists = []
-        maxima = self.block_max[query, block]
-        for i in np.flatnonzero(maxima).tolist():
-            lists.append([0, self.postings[int(query[i]), block], float(maxima[i])])
+        for e in entries:
+            a, b = self.posting[e], self.posting[e + 1]
+            lists.append([0, list(zip(self.items[a:b].tolist(), self.scores[a:b].tolist(), strict=True)), self.most[e]])
         found: dict[int, float] = {}
         while lists:
             lists.sort(key=lambda x: x[1][x[0]][0])
@@ -131,30 +128,66 @@ class Index:
             lists = [x for x in lists if x[0] < len(x[1])]
         return found
 
+
+class Index:
+    """Items by length, each class of them with its own blocks and its own length of passages; memory grows with the items' words."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        words = [terms(t) for _, t in items]
+        # items that share words lie side by side, so block maxima are close to what one item holds
+        order = sorted((i for i in range(len(items)) if words[i]), key=lambda i: (sorted(Counter(words[i]).items(), key=lambda x: (-x[1], x[0]))[0], items[i][0], i))
+        self.ids = [items[i][0] for i in order]
+        self.words = [words[i] for i in order]
+        self.parts = [question_answer(items[i][1]) for i in order]
+        n, mean = len(order), sum(map(len, self.words)) / max(1, len(order))
+        seen = Counter(w for ws in self.words for w in set(ws))
+        idf = {w: math.log1p((n - c + 0.5) / (c + 0.5)) for w, c in seen.items()}
+        self.vocab = {w: i for i, w in enumerate(sorted(seen))}
+        classes: dict[int, list[tuple[int, dict[int, float]]]] = defaultdict(list)
+        for d, ws in enumerate(self.words):
+            own = {self.vocab[w]: idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean)) for w, tf in Counter(ws).items()}
+            whole = sum(own.values())
+            classes[max(LEAST, len(ws) - 1).bit_length()].append((d, {t: x / whole for t, x in own.items()}))
+        self.classes = [Blocks(c, len(self.vocab), max(len(self.words[d]) for d, _ in c)) for _, c in sorted(classes.items())]
+
+    def numbers(self, words: list[bytes]) -> list[int]:
+        get, none = self.vocab.get, len(self.vocab)
+        return [get(w, none) for w in words]
+
+    def _verified(self, near: list[bytes], scores: dict[int, float]) -> Iterator[tuple[int, dict]]:
+        own: dict[int, set[tuple[bytes, ...]]] = {}
+
+        def share(want: list[bytes]) -> float:
+            wanted = shingles(want)
+            if not wanted:
+                return 1.0
+            size = min(SHINGLE, len(want))
+            if size not in own:
+                own[size] = shingles(near, size)
+            return sum(s in own[size] for s in wanted) / len(wanted)
+
+        for d, score in scores.items():
+            overlap, (question, answer) = share(self.words[d]), map(share, self.parts[d])
+            if overlap >= SIMILAR or question >= SIMILAR and answer >= ANSWER:
+                yield d, {"item_id": self.ids[d], "bm25": score, "overlap": overlap, "question": question, "answer": answer}
+
     def hits(self, text: str | None, threshold: float = THRESHOLD) -> list[dict]:
         """Verified items of a text, by item id, each with its best passage."""
         words = terms(text)
         if not words or not self.ids:
             return []
-        stride, numbers = self.longest, self.numbers(words)
+        numbers = self.numbers(words)
+        places = np.array(numbers)
         best: dict[int, dict] = {}
-        # 1: a bound of every passage of 2 * stride words, repeats included
-        starts = np.arange(0, max(1, len(words) - stride), stride)
-        sums = np.add.reduceat(self.top[numbers], np.arange(0, len(words), stride), dtype=np.float64)
-        sums = np.append(sums, 0.0)
-        bounds = sums[: len(starts)] + sums[1 : len(starts) + 1]
-        for a in starts[bounds >= threshold].tolist():
-            near = words[a : a + 2 * stride]
-            scores = self.retrieve(np.unique(numbers[a : a + 2 * stride]), threshold)
-            if not scores:
-                continue
-            own = {k: shingles(near, k) for k in {min(SHINGLE, len(s)) for d in scores for s in (self.words[d], *self.parts[d]) if s}}
-            share = lambda want: sum(s in own[len(s)] for s in want) / len(want) if want else 1.0  # noqa: B023, E731
-            for d, score in scores.items():
-                overlap, (question, answer) = share(self.shingles[d]), map(share, self.part_shingles[d])
-                if overlap >= SIMILAR or question >= SIMILAR and answer >= ANSWER:
-                    hit = {"item_id": self.ids[d], "bm25": score, "overlap": overlap, "question": question, "answer": answer}
-                    if d not in best or (overlap, score) > (best[d]["overlap"], best[d]["bm25"]):
+        for c in self.classes:
+            # 1: a bound of every passage of 2 * stride words, repeats included
+            starts = np.arange(0, max(1, len(words) - c.stride), c.stride)
+            sums = np.append(np.add.reduceat(c.tops[places], np.arange(0, len(words), c.stride)), 0.0)
+            bounds = sums[: len(starts)] + sums[1 : len(starts) + 1]
+            for a in starts[bounds >= threshold].tolist():
+                scores = c.retrieve(numbers[a : a + 2 * c.stride], threshold)
+                for d, hit in self._verified(words[a : a + 2 * c.stride], scores) if scores else ():
+                    if d not in best or (hit["overlap"], hit["bm25"]) > (best[d]["overlap"], best[d]["bm25"]):
                         best[d] = hit
         by_id: dict[int, dict] = {}
         for hit in best.values():
@@ -166,12 +199,10 @@ class Index:
 _HIT_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), *((c, pa.float64()) for c in ("bm25", "overlap", "question", "answer"))]))
 
 
-def _search(index, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search(index):
+    def run(texts: pa.Array) -> pa.Array:
         own = index.value
-        for b in batches:
-            got = [own.hits(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(got, _HIT_TYPE)], names=[*names, "found"])
+        return pa.array([own.hits(t.as_py()) for t in texts], _HIT_TYPE)
 
     return run
 
@@ -197,17 +228,14 @@ def item_parts(benchmark: DataFrame, part_words: int = PART_WORDS) -> Iterator[l
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
-    """docs with the column found, the verified items of each row's text; docs has no column of that name."""
+    """docs with the column found, the verified items of each row's text; docs has no column of that name.  Workers get texts and
+    give hits, nothing else."""
     spark = docs.sparkSession
-    schema = ", ".join(f"`{c}` {t.dataType.simpleString()}" for c, t in zip(docs.columns, docs.schema, strict=True))
-    out = docs.withColumn("found", F.array().cast(HITS))
+    found = F.array().cast(HITS)
     for items in item_parts(benchmark, part_words):
         index = spark.sparkContext.broadcast(Index(items))
-        own = out.withColumnRenamed("found", "before")
-        names = [*docs.columns, "before"]
-        own = own.mapInArrow(_search(index, names), f"{schema}, before {HITS}, found {HITS}")
-        out = own.withColumn("found", F.concat("before", "found")).drop("before")
-    return out
+        found = F.concat(found, F.arrow_udf(_search(index), HITS).asNondeterministic()(F.col("text").cast("string")))  # not run twice, by the filter and for what it keeps
+    return docs.withColumn("found", found)
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
