@@ -7,10 +7,10 @@ resource from others, and revisit for a payload of MIN_REVISIT bytes or more tha
 name-based UUIDs of place and content, so a second conversion gives the same; 14-digit dates become ISO dates;
 digests are SHA-256.  ``read_warc`` reads WARC files back and recomputes what the headers claim.
 
-Files are written by Spark's text writer, whose committer discards what a lost task wrote, with the format's record separator
-as line separator, and read as streams, so a task holds one record at a time.  Payloads aren't shuffled: a first pass
-yields digests, their groups name the records that revisit others, and a file's list of those goes to the task that
-converts it.
+A file has a gzip member for each record.  It is written under a name of its own and renamed when it is whole, and read as a
+stream, so a task holds one record at a time; each archive is converted and read by a task of its own.  Payloads aren't
+shuffled: a first pass yields digests, their groups name the records that revisit others, and a file's list of those
+goes to the task that converts it.
 
 Nulls and odd input: a null html is an empty payload; a null url is "-", and white space and control characters in a url
 are percent-encoded; a null page_id is read back as null and comes last among equal payloads; of repeated rows the first
@@ -24,15 +24,18 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm.common import open_fs, scratch, stage, table
+from hearken.llm.common import open_fs, scratch, small_batches, stage, table
 
 MIN_REVISIT = 100
+#: Of compression: records are small and written twice.
+LEVEL = 3
 #: The date of records whose source has none.
 DATE = "20200101000000"
 #: The field lists of the two versions of the format; fixed values.
@@ -57,32 +60,64 @@ def arc_start(version: int, name: str) -> bytes:
     return arc_header(version, f"filedesc://{name}", "text/plain", len(body), name, 0, "-") + body
 
 
-def _to_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+class _Members:
+    """A gzip file with a member for each record, under a name of its own until it is whole; so a task that is run again, or twice
+    at a time, leaves one whole file."""
 
-    part = TaskContext.get().partitionId()
-    version, name, offset = 1 + part % 2, f"pages-{part:06d}.arc", 0
-    for b in batches:
-        out: list[bytes] = []
-        if not offset and b.num_rows:
-            out.append(arc_start(version, name))
-            offset = len(out[0]) + 1
-        for page_id, url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
-            own = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
-            block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{own}\r\n".encode() + payload
-            out.append(arc_header(version, _url(url), "text/html", len(block), name, offset, "-") + block)
-            offset += len(out[-1]) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_binary()).cast(pa.binary())], names=["record"])
+    def __init__(self, folder: str, name: str):
+        self.fs, self.root = open_fs(folder)
+        self.own, self.name = f"{self.root}/.{uuid.uuid4().hex}", f"{self.root}/{name}"
+        self.out = self.fs.open_output_stream(self.own, compression=None)
+
+    def add(self, record: bytes) -> None:
+        self.out.write(gzip.compress(record, LEVEL, mtime=0))
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.own, self.name)
+
+
+def _to_arc(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        part = TaskContext.get().partitionId()
+        version, name, offset, out = 1 + part % 2, f"pages-{part:06d}.arc", 0, None
+        for b in batches:
+            for page_id, url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if out is None:
+                    out, start = _Members(folder, name + ".gz"), arc_start(version, name)
+                    out.add(start + b"\n")
+                    offset = len(start) + 1
+                payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
+                own = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{own}\r\n".encode() + payload
+                record = arc_header(version, _url(url), "text/html", len(block), name, offset, "-") + block
+                out.add(record + b"\n")
+                offset += len(record) + 1
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"name": [name]})
 
-def _save(records: DataFrame, path: str, separator: str) -> None:
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "gzip").text(path)
+    return run
+
+
+def _run(files: DataFrame) -> None:
+    """Runs the tasks that write files."""
+    with small_batches(files.sparkSession):
+        files.write.format("noop").mode("overwrite").save()
+
+
+def _folder(path: str) -> None:
+    fs, root = open_fs(path)
+    fs.create_dir(root)
 
 
 def write_arc(pages: DataFrame, path: str) -> None:
+    """A file for each partition of pages."""
+    _folder(path)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    _save(rows.mapInArrow(_to_arc, "record binary"), path, "\n")
+    _run(rows.mapInArrow(_to_arc(path), "name string"))
 
 
 def _open(uri: str) -> IO[bytes]:
@@ -147,14 +182,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for at, fields, block in arc_records(f):
                     if block.startswith(b"HTTP/") and fields["URL"][:11] != "filedesc://":
                         headers, _, payload = http_parts(block)
-                        rows.append({"path": path, "at": at, "page_id": _page_id(headers), "n": len(payload), "digest": hashlib.sha256(payload).hexdigest()})
+                        rows.append({"path": path, "at": at, "page_id": _page_id(headers), "n": len(payload), "digest": hashlib.sha256(payload).hexdigest(), "url": fields["URL"], "date": fields["Archive-date"]})
                     if len(rows) >= 5000:
                         yield pa.RecordBatch.from_pylist(rows, _DIGEST)
                         rows = []
             yield pa.RecordBatch.from_pylist(rows, _DIGEST)
 
 
-_DIGEST = pa.schema([("path", pa.string()), ("at", pa.int64()), ("page_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string())])
+_DIGEST = pa.schema([("path", pa.string()), ("at", pa.int64()), ("page_id", pa.int64()), ("n", pa.int64()), ("digest", pa.string()), ("url", pa.string()), ("date", pa.string())])
 
 
 def record_id(*of: object) -> str:
@@ -171,63 +206,85 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8", "surrogateescape") + b"\r\n" + block
 
 
-def warc_record(name: str, at: int, fields: dict[str, str], block: bytes, revisits: tuple[str, str, int | None] | None = None) -> bytes:
-    """One ARC record as a WARC record.  revisits: the file name, offset and page of the response with the same payload."""
+@dataclass
+class First:
+    """The record that a revisit refers to: its place among the ARC files, and what its headers say."""
+
+    path: str
+    at: int
+    page: int | None
+    url: str
+    date: str
+
+
+def warc_record(name: str, at: int, fields: dict[str, str], block: bytes, first: First | None = None) -> bytes:
+    """One ARC record of the file of this name as a WARC record; first: the record with the same payload that it revisits."""
     url, kind, block_digest = fields["URL"], fields["Content-type"], hashlib.sha256(block).hexdigest()
     common = [("WARC-Record-ID", record_id(name, at)), ("WARC-Date", iso_date(fields["Archive-date"]))]
     if url.startswith("filedesc://"):
         info = f"software: hearken\r\nformat: WARC file version 1.1\r\nconverted-from: ARC version {fields['version']}\r\n".encode()
-        return _record([("WARC-Type", "warcinfo"), *common, ("WARC-Filename", url[11:]), ("Content-Type", "application/warc-fields")], info)
-    common += [("WARC-Target-URI", url), ("WARC-IP-Address", fields["IP-address"])]
+        return _record([("WARC-Type", "warcinfo"), *common, ("WARC-Filename", warc_name(url[11:])), ("Content-Type", "application/warc-fields")], info)
+    common += [("WARC-Warcinfo-ID", record_id(name, 0)), ("WARC-Target-URI", url), ("WARC-IP-Address", fields["IP-address"])]
     if not block.startswith(b"HTTP/"):
         return _record([("WARC-Type", "resource"), *common, ("WARC-Block-Digest", f"sha256:{block_digest}"), ("Content-Type", kind)], block)
     _, head, payload = http_parts(block)
     common.append(("WARC-Payload-Digest", f"sha256:{hashlib.sha256(payload).hexdigest()}"))
     http = ("Content-Type", "application/http; msgtype=response")
-    if revisits is None:
+    if first is None:
         return _record([("WARC-Type", "response"), *common, ("WARC-Block-Digest", f"sha256:{block_digest}"), http], block)
-    first, first_at, page = revisits
-    common += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first, first_at))]
-    common += [] if page is None else [("X-Refers-To-Page-Id", str(page))]
+    common += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(_name(first.path), first.at))]
+    common += [("WARC-Refers-To-Target-URI", first.url), ("WARC-Refers-To-Date", iso_date(first.date))]
+    common += [] if first.page is None else [("X-Refers-To-Page-Id", str(first.page))]
     return _record([("WARC-Type", "revisit"), *common, http], head)
 
 
 def _name(path: str) -> str:
-    return path.rsplit("/", 1)[-1]
+    return path.rsplit("/", 1)[-1].removesuffix(".gz")
 
 
-def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, again in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            of = {x["at"]: (x["first_path"], x["first_at"], x["first_page"]) for x in again or ()}
-            out, n = [], 0
-            with _open(path) as f:
-                for at, fields, block in arc_records(f):
-                    first = of.get(at)
-                    out.append(warc_record(_name(path), at, fields, block, first and (_name(first[0]), *first[1:])))
-                    n += len(out[-1])
-                    if n > 1 << 22:
-                        yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
-                        out, n = [], 0
-            yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
+def warc_name(arc: str) -> str:
+    return _name(arc).removesuffix(".arc") + ".warc.gz"
+
+
+def _to_warc(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, again in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                of = {x.pop("own"): First(**x) for x in again or ()}
+                out = _Members(folder, warc_name(path))
+                with _open(path) as f:
+                    for at, fields, block in arc_records(f):
+                        out.add(warc_record(_name(path), at, fields, block, of.get(at)) + b"\r\n\r\n")
+                out.close()
+                yield pa.RecordBatch.from_pydict({"name": [path]})
+
+    return run
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0").select("path")
+    """The archives of a folder, one a task: they are few rows, but hours of work."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*arc*").load(path).select("path", "length").filter("length > 0").select("path")
+    return _one_a_task(found)
+
+
+def _one_a_task(found: DataFrame) -> DataFrame:
+    return found.repartitionByRange(max(1, found.count()), "path")
 
 
 def convert(spark: SparkSession, arc: str, warc: str) -> None:
-    """ARC files of a folder to WARC files of another."""
+    """ARC files of a folder to WARC files of another, each to one."""
+    _folder(warc)
     found = files(spark, arc)
-    schema = "path string, at long, page_id long, n long, digest string"
+    schema = "path string, at long, page_id long, n long, digest string, url string, date string"
     digests = stage(found.mapInArrow(_digests, schema), "digests")
-    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), F.col("path"), F.col("at"))
-    first = digests.filter(F.col("n") >= MIN_REVISIT).groupBy("digest", "n").agg(F.min(order).alias("first"), F.count("*").alias("c")).filter("c > 1")
-    first = stage(first.select("digest", "n", F.col("first.path").alias("first_path"), F.col("first.at").alias("first_at"), F.col("first.page").alias("first_page")), "repeated")
-    again = digests.join(first, ["digest", "n"]).filter("path <> first_path or at <> first_at")
+    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page"), "path", "at", "url", "date")
+    repeated = digests.filter(F.col("n") >= MIN_REVISIT).groupBy("digest", "n").agg(F.min(order).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    repeated = stage(repeated.select("digest", "n", "first"), "repeated")
+    again = digests.select("path", "at", "digest", "n").join(repeated, ["digest", "n"]).filter("path <> first.path or at <> first.at")
     # a file's list is as long as its records at most
-    lists = again.groupBy("path").agg(F.collect_list(F.struct("at", "first_path", "first_at", "first_page")).alias("again"))
-    _save(found.join(lists, "path", "left").select("path", "again").mapInArrow(_to_warc, "record binary"), warc, "\r\n\r\n")
+    lists = again.groupBy(F.col("path").alias("of")).agg(F.collect_list(F.struct(F.col("at").alias("own"), "first.path", "first.at", "first.page", "first.url", "first.date")).alias("again"))
+    lists = stage(lists, "revisits")
+    _run(_one_a_task(found.join(lists, F.col("path") == F.col("of"), "left").select("path", "again")).mapInArrow(_to_warc(warc), "name string"))
 
 
 def warc_records(f: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
