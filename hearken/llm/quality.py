@@ -16,7 +16,6 @@ Repeated rows are judged alike; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,7 +39,6 @@ RULES: dict[str, list[float]] = {
     "short_words": [-x / 4 for x in range(4, 20)],  # the same, negative
 }
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_BASE_SCHEMA = ", ".join(f"{c} long" for c in BASE)
 
 
 def repeated(ids: list[int], window: int = WINDOW) -> int:
@@ -86,29 +84,26 @@ def measures(text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
     return (n, chars, symbols, dup_lines, again), rates
 
 
-def _measured(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            base: list[tuple[int, ...]] = []
-            rates: list[tuple[float, ...]] = []
-            for t in b.column("text"):
-                x, y = measures(t.as_py())
-                base.append(x)
-                rates.append(y)
-            cols = [b.column(c) for c in names]
-            cols += [pa.array([x[i] for x in base], pa.int64()) for i in range(len(BASE))]
-            cols.append(pa.array(rates, pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, *BASE, "rates"])
+_MEASURES = pa.struct([*((c, pa.int64()) for c in BASE), ("rates", pa.list_(pa.float64()))])
 
-    return run
+
+def _measured(texts: pa.Array) -> pa.Array:
+    base: list[tuple[int, ...]] = []
+    rates: list[tuple[float, ...]] = []
+    for t in texts:
+        x, y = measures(t.as_py())
+        base.append(x)
+        rates.append(y)
+    columns = [pa.array([x[i] for x in base], pa.int64()) for i in range(len(BASE))]
+    return pa.StructArray.from_arrays([*columns, pa.array(rates, pa.list_(pa.float64()))], fields=list(_MEASURES))
 
 
-def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """The columns to carry, the base counts, base_failed and the array rates; docs has no other column of these names."""
-    chosen = docs.select(*carry, *([] if "text" in carry else ["text"]))
-    schema = ", ".join([*(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in carry), _BASE_SCHEMA, "rates array<double>"])
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the base counts, the array rates, and base_failed; docs has no other column of these names.  Workers get texts
+    and give measures, nothing else."""
+    run = F.arrow_udf(_measured, ", ".join([*(f"{c} long" for c in BASE), "rates array<double>"]).join(["struct<", ">"])).asNondeterministic()  # not run anew for each field
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return chosen.mapInArrow(_measured(carry), schema).withColumn("base_failed", failed)
+    return docs.withColumn("measures", run(F.col(text).cast("string"))).select("*", "measures.*").drop("measures").withColumn("base_failed", failed)
 
 
 def tail(n: int, k: int, p: float) -> float:
@@ -160,7 +155,7 @@ def fit_cutoffs(rated: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     Counts cover every labelled document; a stratum's row of cutoffs is made from a histogram of fixed size.
     """
     good = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    held = rated.select("doc_id", "stratum", "rates").join(good, "doc_id")
+    held = rated.select(F.col("doc_id").cast("long").alias("doc_id"), "stratum", "rates").join(good, "doc_id")
     # the first so many cutoffs of a rule are too mild to reject a document, the others reject it
     above = lambda i: lambda x: x >= F.col("rates")[i]
     milder = F.array(*[F.size(F.filter(F.array(*map(F.lit, c)), above(i))) for i, c in enumerate(RULES.values())])
@@ -186,22 +181,16 @@ def judged(rated: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text, lang and others) that are kept, with docs' columns."""
+    """The rows of docs (doc_id, text, lang and others) that are kept, with docs' columns.  Texts are measured once, in a table
+    with all columns, from which the cutoffs come and which is then filtered."""
     own = aside(docs, ("doc_id", "text", "lang"))
-    rated = measured(own, own.columns).withColumn("stratum", F.col("lang").cast("string"))
-    return judged(rated, cutoffs_for(docs, labels)).filter("kept").select(*own.columns).toDF(*docs.columns)
-
-
-def rated_table(docs: DataFrame) -> DataFrame:
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("stratum"))
-    return stage(measured(base, ["doc_id", "stratum"]), "rated")
-
-
-def cutoffs_for(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return stage(fit_cutoffs(rated_table(docs), labels), "cutoffs")
+    rated = stage(measured(own).drop(*BASE).withColumn("stratum", F.col("lang").cast("string")), "rated")
+    cutoffs = stage(fit_cutoffs(rated, labels), "cutoffs")
+    return judged(rated, cutoffs).filter("kept").select(*own.columns).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = rated_table(table(spark, sf_dir, "documents"))
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").cast("string").alias("stratum"))
+    rated = stage(measured(own).drop("text"), "rated")
     cutoffs = stage(fit_cutoffs(rated, table(spark, sf_dir, "labels")), "cutoffs")
     return judged(rated, cutoffs).select("doc_id", *BASE, "base_failed", "kept")
