@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from hearken.llm import decontaminate, html, mixing, pii, quality, simhash, tokens, toxicity, urls, warc
+from hearken.llm import decontaminate, html, mixing, pii, pipeline, quality, simhash, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -20,7 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_ids": tokens.op9_token_ids,
     "op10_decontaminate": decontaminate.op10_decontaminate,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

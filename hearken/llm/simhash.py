@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hearken.llm.common import stage, table, words_of
+from hearken.llm.common import aside, stage, table, words_of, workspace
 from hearken.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -171,8 +171,7 @@ def _parities(shingles: np.ndarray) -> bytes:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-        got = [_shingle_set(t.as_py()) for t in b.column("text")]
-        yield pa.RecordBatch.from_pydict({"key": b.column("key"), "n": pa.array([len(x) for x in got], pa.int64()), "parities": pa.array([_parities(x) for x in got], pa.binary()), "shingles": pa.array([x.view("<u8").tobytes() for x in got], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"key": b.column("key"), "shingles": pa.array([_shingle_set(t.as_py()).view("<u8").tobytes() for t in b.column("text")], pa.binary())})
 
 
 def _perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,41 +199,46 @@ def _shingle_set(text: str | None) -> np.ndarray:
     return np.unique(hashed([w.lower() for w in words_of(text)], WORDS)).view("<i8")
 
 
-def _prefixes(slots: np.ndarray, counts: np.ndarray, whole: bool = False):
-    """id, text -> a row (id, n, h) for each shingle h of a text's prefix, or of the whole text; n is their full number.
+def _shapes(slots: np.ndarray, counts: np.ndarray):
+    """id, text -> a row (id, n, parities, heads) for each id of a batch: how many shingles its text has, and those of its prefix.
 
-    The order of shingles is that of (the count of its slot if listed, h).  Copies in a batch give their rows once.
+    The order of shingles is that of (the count of its slot if listed, h).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             at = dict(zip(b.column("id").to_pylist(), range(b.num_rows), strict=True))
-            ids, sets, sizes = [], [], []
-            for i, (key, row) in enumerate(at.items()):
+            sizes, parities, heads = [], [], []
+            for row in at.values():
                 found = _shingle_set(b.column("text")[row].as_py())
-                ids.append(key)
                 sizes.append(len(found))
-                if not whole:
-                    of = found & (SLOTS - 1)
-                    place = np.minimum(np.searchsorted(slots, of), max(len(slots) - 1, 0))
-                    often = np.where(slots[place] == of, counts[place], 0) if len(slots) else np.zeros(len(of), np.int64)
-                    found = found[np.lexsort((found, often))][: int(len(found) * (1 - SIMILAR) + 1e-6) + 1]
-                sets.append(found)
-                if i == len(at) - 1 or i % SLICE == SLICE - 1:
-                    kept = np.array([len(x) for x in sets])
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(np.repeat(np.array(ids, np.int64), kept)), "n": pa.array(np.repeat(np.array(sizes, np.int64), kept)), "h": pa.array(np.concatenate(sets))})
-                    ids, sets, sizes = [], [], []
+                parities.append(_parities(found))
+                of = found & (SLOTS - 1)
+                place = np.minimum(np.searchsorted(slots, of), max(len(slots) - 1, 0))
+                often = np.where(slots[place] == of, counts[place], 0) if len(slots) else np.zeros(len(of), np.int64)
+                heads.append(found[np.lexsort((found, often))][: int(len(found) * (1 - SIMILAR) + 1e-6) + 1])
+            yield pa.RecordBatch.from_pydict({"id": pa.array(list(at), pa.int64()), "n": pa.array(sizes, pa.int64()), "parities": pa.array(parities, pa.binary()), "heads": pa.array(heads, pa.list_(pa.int64()))})
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct (key, hub) -> those alike, as links (u, v)."""
-    short = sets.select("key", "n", "parities")
-    both = pairs.join(short.toDF("hub", "hub_n", "hub_parities"), "hub").join(short, "key").select("key", "hub", "n", "hub_n", "parities", "hub_parities")
-    near = stage(both.mapInArrow(_perhaps, "key long, hub long"), "near")
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found, often = np.unique(np.concatenate([np.zeros(0, np.int64), *(_shingle_set(t.as_py()) & (SLOTS - 1) for t in b.column("text"))]), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"slot": found, "c": often.astype(np.int64)})
+
+
+def _verified(pairs: DataFrame, shapes: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Distinct (key, hub) -> those alike, as links (u, v).  Most that aren't fall by their parities; whole shingle sets are made of
+    the texts left only, one of the copies of each."""
+    both = pairs.join(shapes.toDF("hub", "hub_n", "hub_parities"), "hub").join(shapes.toDF("key", "n", "parities"), "key").filter(_sizes_fit("n", "hub_n"))
+    near = stage(both.select("key", "hub", "n", "hub_n", "parities", "hub_parities").mapInArrow(_perhaps, "key long, hub long"), "near")
+    left = near.select("key").union(near.select("hub")).distinct()
+    of = texts.join(left.withColumnRenamed("key", "id"), "id").select(F.col("id").alias("key"), F.col("least").alias("of"))
+    chosen = rows.join(of, F.col("id").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("key", "text")
+    sets = stage(chosen.dropDuplicates(["key"]).mapInArrow(_sets, "key long, shingles binary"), "sets")
     hubs = sets.select(F.col("key").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    held = near.join(hubs, "hub").join(sets.select("key", "shingles"), "key").select("key", "hub", "shingles", "hub_shingles")
+    held = near.join(hubs, "hub").join(sets, "key").select("key", "hub", "shingles", "hub_shingles")
     return stage(held.mapInArrow(_alike, "key long, hub long, same boolean").filter("same").select(F.col("key").alias("u"), F.col("hub").alias("v")), "verified")
 
 
@@ -247,10 +251,8 @@ def _frequent(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     This sets the order of shingles only: any order finds all pairs, rare shingles first give fewer candidates.
     """
-    part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(min(16, max(1, n >> 13)))) == 0).select("id", "text")
-    none = np.zeros(0, np.int64)
-    each = part.mapInArrow(_prefixes(none, none, True), "id long, n long, h long")
-    slots = stage(each.groupBy(F.col("h").bitwiseAND(SLOTS - 1).alias("slot")).agg(F.count("*").alias("c")), "slots")
+    part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(min(16, max(1, n >> 13)))) == 0).select("text")
+    slots = stage(part.mapInArrow(_slot_counts, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")), "slots")
     mean = (slots.agg(F.sum("c")).first()[0] or 0) / SLOTS
     got = slots.filter(F.col("c") > mean + 8 * mean**0.5 + 8).orderBy("slot").toPandas()
     return got["slot"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
@@ -265,11 +267,10 @@ def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     of texts that share a prefix shingle and aren't joined yet are compared, so no pair is left out.
     """
     slots, counts = _frequent(rows, texts.count())
-    prefix = rows.select("id", "text").mapInArrow(_prefixes(slots, counts), "id long, n long, h long").repartition("h").dropDuplicates(["h", "id"])
+    made = stage(rows.select("id", "text").mapInArrow(_shapes(slots, counts), "id long, n long, parities binary, heads array<long>"), "heads")
+    prefix = made.select("id", "n", F.explode("heads").alias("h")).repartition("h").dropDuplicates(["h", "id"])
     entries = stage(prefix.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1").select("h", "id", "n"), "entries")
-    wanted = texts.join(entries.select("id").distinct(), "id").select("id", F.col("least").alias("of"))
-    chosen = rows.join(wanted.withColumnRenamed("id", "key"), F.col("id").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("key", "text")
-    sets = stage(chosen.dropDuplicates(["key"]).mapInArrow(_sets, "key long, n long, parities binary, shingles binary"), "sets")
+    shapes = stage(made.select("id", "n", "parities").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "shapes")
     found, labelled, before, k = None, entries.withColumn("label", F.col("id")), None, 0
     while True:
         groups = labelled.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("joined"))
@@ -287,7 +288,7 @@ def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
         else:
             hubs = labelled.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("r"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("label").alias("label2"))).alias("b"))
             pairs = labelled.join(hubs.select("h", "b.*"), "h").filter("label <> label2").filter(_sizes_fit("n", "m")).select(F.col("id").alias("key"), "hub")
-        same = _verified(pairs.distinct(), sets)
+        same = _verified(pairs.distinct(), shapes, rows, texts)
         found = same if found is None else found.unionByName(same)
         if last:
             break
@@ -297,27 +298,49 @@ def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0) if found is None else found
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and id: the first 64 bits of a digest stand for a text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return own.withColumn("id", _digest(F.col("text")))
+
+
+def _digest(text: Column) -> Column:
+    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """(id, least, root): a row a distinct text with the smallest doc_id that has it, and its group."""
+    rows = _named(docs)
+    with workspace(docs.sparkSession) as keep:
+        texts = stage(rows.groupBy("id").agg(F.min("doc_id").alias("least")), "texts")
+        roots = components(similar_links(rows, texts))
+        rooted = texts.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
+        return keep(rooted.select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text -> (doc_id, keeper): for every document the smallest doc_id of its group.
 
-    Groups are the connected components of copies of one text and of texts with SIMILAR of their five-word shingles in common.
+    Groups are the connected components of copies of one text and of texts with SIMILAR of their five-word shingles in common;
+    texts without a word are one group.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # the first 64 bits of a digest stand for a text
-    rows = own.withColumn("id", F.conv(F.substring(F.sha2("text", 256), 1, 16), 16, -10).cast("long"))
-    texts = stage(rows.groupBy("id").agg(F.min("doc_id").alias("least")), "texts")
-    roots = components(similar_links(rows, texts))
-    rooted = texts.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    rooted = stage(rooted, "rooted")
-    keepers = rooted.groupBy("root").agg(F.min("least").alias("keeper"))
-    return rows.select("doc_id", "id").join(rooted.join(keepers, "root").select("id", "keeper"), "id").select("doc_id", "keeper")
+    groups = _groups(docs)
+    keepers = groups.groupBy("root").agg(F.min("least").alias("keeper"))
+    return _named(docs).select("doc_id", "id").join(groups.join(keepers, "root").select("id", "keeper"), "id").select("doc_id", "keeper")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each group of near duplicates the document with its smallest doc_id.  Rows without a doc_id
-    stay, as none can be told from another."""
-    gone = near_duplicates(docs).filter("doc_id <> keeper").select("doc_id").distinct()
-    return docs.join(stage(gone, "gone"), "doc_id", "left_anti")
+    """One row of docs of each group of near duplicates: that with the smallest doc_id, null being the largest; of several such
+    rows that with the least digest of its text, then of all its columns."""
+    groups = _groups(docs)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id")).alias("k"))
+    first = stage(first.select(F.col("k.id").alias("__id"), F.coalesce(F.col("k.least").cast("string"), F.lit("")).alias("__doc")), "first")
+    own = aside(docs, ("doc_id", "text"))
+    columns = [F.col(c) for c in own.columns]
+    rows = own.withColumn("__id", _digest(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("__doc", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
+    stays = rows.join(first, ["__id", "__doc"], "left_semi")
+    one = stays.groupBy("__id", "__doc").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return one.select("row.*").toDF(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
