@@ -1,51 +1,7 @@
-"""Documents to token ids in five stages, each an operator of hearken.llm.
-
-A stage gets (spark, docs, sf_dir); what it returns is written as Parquet and read again as the next one's docs.
-"""
+"""The corpus pipeline, documents to token ids, for whoever looks for it here; hearken.llm.pipeline has it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from hearken.llm import decontaminate, mixing, quality, simhash, tokens
-from hearken.llm.common import stage, table
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the risk-controlled ones reject go (operator 8)."""
-    return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (operator 7)."""
-    return simhash.keep_first(docs).select(docs.columns)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go (operator 10)."""
-    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target asks for, in training order (operator 4)."""
-    return mixing.mixed_rows(docs)
-
-
-def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id files of what is left, read back (operator 9)."""
-    return tokens.token_files(docs)
-
-
-STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mix", mix), ("token ids", token_ids)]
-
-#: Tokenizers, XXH64 and binomial tests aren't in SQL: tests/llm hold the stages against brute force.
-ORACLE_SQL = None
-
+from hearken.llm.pipeline import ORACLE_SQL, STAGES, run
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, name.replace(" ", "-"))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
