@@ -9,7 +9,7 @@ from hearken.functions import text as tx
 from hearken.operators import audit, federate, relate
 from hearken.plans import fixtures as fx
 from hearken.plans.registry import query
-from hearken.sources.tables import conversation_turns, labelled_turns, segments, table
+from hearken.sources.tables import MAX_TURNS, conversation_turns, labelled_turns, segments, table
 
 _MD5 = "md5(CAST({} AS VARCHAR))"
 
@@ -23,9 +23,9 @@ def first_k_text(s: SparkSession, d: str) -> DataFrame:
     return rows.select("dialogue_id", F.array_join(F.slice("t.text", 1, 2), " ").alias("first_two"), F.size("t").cast("long").alias("n_turns"))
 
 
-@query(f"{fx.TURNS} SELECT dialogue_id, n_turns_orig, n_turns, n_turns_orig > n_turns AS truncated FROM dialogues")
+@query(f"{fx.FIRST_TURNS} SELECT dialogue_id, n_turns_orig, n_turns, n_turns_orig > n_turns AS truncated FROM dialogues")
 def truncate_turns(s: SparkSession, d: str) -> DataFrame:
-    return fx.dialogues(s, d).select("dialogue_id", "n_turns_orig", "n_turns", (F.col("n_turns_orig") > F.col("n_turns")).alias("truncated"))
+    return fx.dialogues(s, d, MAX_TURNS).select("dialogue_id", "n_turns_orig", "n_turns", (F.col("n_turns_orig") > F.col("n_turns")).alias("truncated"))
 
 
 @query(f"{fx.FLAGGED} SELECT label, CAST(count(*) FILTER (f) AS BIGINT) AS n_with_flag, count(*) AS n, round(avg(CAST(f AS INTEGER)), 4) AS share FROM (SELECT dialogue_id, any_value(label) AS label, bool_or(len(flags) > 0) AS f FROM flagged GROUP BY 1) GROUP BY 1")
@@ -58,11 +58,11 @@ def label_encode(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents),
-p AS (SELECT lang AS path, 'ru' AS lang, line FROM l WHERE length(line) BETWEEN 1 AND 60)
+p AS (SELECT lang AS path, 'ru' AS lang, line FROM l WHERE line <> '')
 SELECT path, lang, line, 'repeated line' AS violation FROM p GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 def lint_rules(s: SparkSession, d: str) -> DataFrame:
     lines = table(s, d, "documents").select(F.col("lang").alias("path"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return audit.lint(lines.filter(F.length("line").between(1, 60)).withColumn("lang", F.lit("ru")))
+    return audit.lint(lines.filter("line <> ''").withColumn("lang", F.lit("ru")))
 
 
 # joins
@@ -157,14 +157,14 @@ def jaccard_pairs(s: SparkSession, d: str) -> DataFrame:
     return relate.similar_pairs(items, 0.1).withColumn("jaccard", F.round("jaccard", 6))
 
 
-_CONV_PAIRS = _PAIRS.format(id="conv_id * 100 + turn", pool="role", source="(SELECT * FROM conversations WHERE length(text) < 400)")
+_CONV_PAIRS = _PAIRS.format(id="conv_id * 100 + turn", pool="role", source="conversations")
 
 
 @query(f"""WITH RECURSIVE {_CONV_PAIRS}, e AS (SELECT pool, a, b FROM j WHERE jaccard >= CAST(0.5 AS DOUBLE)), e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT id, id AS reach FROM t UNION SELECT r.id, e2.b FROM r JOIN e2 ON r.reach = e2.a)
 SELECT pool, r.id, min(reach) AS "group" FROM r JOIN t ON r.id = t.id GROUP BY 1, 2""")
 def similarity_groups(s: SparkSession, d: str) -> DataFrame:
-    items = table(s, d, "conversations").filter(F.length("text") < 400).select(F.col("role").alias("pool"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    items = table(s, d, "conversations").select(F.col("role").alias("pool"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
     return relate.groups(items, relate.similar_pairs(items, 0.5))
 
 
@@ -309,13 +309,13 @@ def bernoulli_gate(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").select("c_custkey", (tx.uniform(F.col("c_custkey"), F.lit("gate")) < 0.55).alias("taken"))
 
 
-_POOL = "SELECT lang AS path, 'ru' AS lang, line, min(doc_id) AS pos, {k} AS src FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id {f}) WHERE length(line) BETWEEN 1 AND 80 GROUP BY 1, 3"
+_POOL = "SELECT lang AS path, 'ru' AS lang, line, min(doc_id) AS pos, {k} AS src FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id {f}) WHERE line <> '' GROUP BY 1, 3"
 
 
 @query(f"""WITH b AS ({_POOL.format(k=0, f='% 2 = 0')} UNION ALL {_POOL.format(k=1, f='% 2 = 1')}), o AS (SELECT path, lang, line, min(src * 1000000000 + pos) AS k FROM b GROUP BY ALL)
 SELECT path, lang, line, row_number() OVER (PARTITION BY path ORDER BY k, line) - 1 AS pos FROM o""")
 def merge_pools(s: SparkSession, d: str) -> DataFrame:
-    lines = table(s, d, "documents").select("doc_id", F.col("lang").alias("path"), F.lit("ru").alias("lang"), F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line").between(1, 80))
+    lines = table(s, d, "documents").select("doc_id", F.col("lang").alias("path"), F.lit("ru").alias("lang"), F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
     pool = lambda odd: lines.filter(F.col("doc_id") % 2 == odd).groupBy("path", "lang", "line").agg(F.min(F.struct("doc_id", "line")).alias("pos"))
     return relate.merge_extension(pool(0), pool(1)).withColumn("pos", F.col("pos").cast("long"))
 
@@ -351,12 +351,12 @@ def fill_template(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").select("c_custkey", tx.fill(F.lit("Dear {name} of {segment},  {nope}hello"), slots).alias("line"))
 
 
-@query("""WITH p AS (SELECT a.p_partkey, a.p_name AS h, b.p_name AS r FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey <= 300)
+@query("""WITH p AS (SELECT a.p_partkey, a.p_name AS h, b.p_name AS r FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
 SELECT p_partkey, round(levenshtein(lower(h), lower(r)) / greatest(1, length(r)), 6) AS cer FROM p""")
 def char_error_rate(s: SparkSession, d: str) -> DataFrame:
     part = table(s, d, "part")
     other = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("r"))
-    rows = part.filter("p_partkey <= 300").select("p_partkey", F.col("p_name").alias("h")).join(other, "p_partkey")
+    rows = part.select("p_partkey", F.col("p_name").alias("h")).join(other, "p_partkey")
     return rows.select("p_partkey", F.round(F.levenshtein(F.lower("h"), F.lower("r")) / F.greatest(F.lit(1), F.length("r")), 6).alias("cer"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hearken.functions import rules
 from hearken.functions import text as tx
 from hearken.operators import curves, evaluate
-from hearken.sources.tables import conversation_turns, labelled_turns
+from hearken.sources.tables import MAX_TURNS, conversation_turns, labelled_turns
 
 CATALOG = rules.TABLES
 THRESHOLDS = (0.6, 0.7, 0.8, 0.9)
@@ -41,9 +41,9 @@ def alerts(spark: SparkSession, sf_dir: str, thresholds: tuple[float, ...] = THR
     return evaluate.sweep(with_action(spark, sf_dir), thresholds, "score", carry)
 
 
-def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dialogues(spark: SparkSession, sf_dir: str, max_turns: int | None = None) -> DataFrame:
     """One row a dialogue: dialogue_id, label, topic, lang, difficulty, n_turns, n_turns_orig."""
-    return labelled_turns(spark, sf_dir).filter("idx = 0").drop("idx", "text")
+    return labelled_turns(spark, sf_dir, max_turns).filter("idx = 0").drop("idx", "text")
 
 
 def split_of(key: Column) -> Column:
@@ -59,13 +59,15 @@ def sql_round(x: str, digits: int = 4) -> str:
 
 # The same as common table expressions.
 _SQUEEZED = r"trim(regexp_replace(d.text, '[ \t\n\r\f\x0B]+', ' ', 'g'))"
-SQL_TURNS = f"""
-w AS (SELECT d.doc_id, d.source, d.lang, l.toxic, l.quality, string_split({_SQUEEZED}, ' ') AS ws
-      FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE {_SQUEEZED} <> ''),
+_TURNS = """
+w AS (SELECT d.doc_id, d.source, d.lang, l.toxic, l.quality, string_split({squeezed}, ' ') AS ws
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE {squeezed} <> ''),
 turns AS (SELECT doc_id AS dialogue_id, toxic AS label, source AS topic, lang, quality AS difficulty,
-                 CAST(least(40, ceil(len(ws) / 20.0)) AS INTEGER) AS n_turns, CAST(ceil(len(ws) / 20.0) AS INTEGER) AS n_turns_orig,
+                 CAST({kept} AS INTEGER) AS n_turns, CAST(ceil(len(ws) / 20.0) AS INTEGER) AS n_turns_orig,
                  CAST(i AS INTEGER) AS idx, array_to_string(ws[20 * i + 1 : 20 * i + 20], ' ') AS text
-          FROM (SELECT *, unnest(range(0, CAST(least(40, ceil(len(ws) / 20.0)) AS BIGINT))) AS i FROM w))"""
+          FROM (SELECT *, unnest(range(0, CAST({kept} AS BIGINT))) AS i FROM w))"""
+SQL_TURNS = _TURNS.format(squeezed=_SQUEEZED, kept="ceil(len(ws) / 20.0)")
+SQL_FIRST_TURNS = _TURNS.format(squeezed=_SQUEEZED, kept=f"least({MAX_TURNS}, ceil(len(ws) / 20.0))")
 SQL_CONVERSATIONS = """
 turns AS (SELECT conv_id AS dialogue_id, CAST(turn AS INTEGER) AS idx, text,
                  CASE role WHEN 'user' THEN 'caller' WHEN 'assistant' THEN 'victim' WHEN 'system' THEN 'agent' ELSE 'unknown' END AS speaker
@@ -97,6 +99,7 @@ SQL_PEAKS = "peaks AS (SELECT dialogue_id, any_value(label) AS label, max(score)
 SQL_DIALOGUES = "dialogues AS (SELECT dialogue_id, label, topic, lang, difficulty, n_turns, n_turns_orig FROM turns WHERE idx = 0)"
 ALL = f"WITH RECURSIVE {SQL_TURNS}, {SQL_FLAGS}, {SQL_SCORED}, {SQL_ACTION}, {SQL_PEAKS}, {SQL_DIALOGUES}"
 TURNS = f"WITH {SQL_TURNS}, {SQL_DIALOGUES}"
+FIRST_TURNS = f"WITH {SQL_FIRST_TURNS}, {SQL_DIALOGUES}"
 FLAGGED = f"WITH {SQL_TURNS}, {SQL_FLAGS}, {SQL_DIALOGUES}"
 CONV = f"WITH RECURSIVE {SQL_CONVERSATIONS}"
 

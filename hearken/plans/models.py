@@ -15,7 +15,7 @@ from hearken.sources.tables import labelled_turns, table
 
 
 def _views(s: SparkSession, d: str) -> DataFrame:
-    rows = labelled_turns(s, d, None).groupBy("dialogue_id", "label").agg(F.array_sort(F.collect_list(F.struct("idx", "text")))["text"].alias("t"))
+    rows = labelled_turns(s, d).groupBy("dialogue_id", "label").agg(F.array_sort(F.collect_list(F.struct("idx", "text")))["text"].alias("t"))
     return rows.withColumn("held", tx.uniform(F.col("dialogue_id"), F.lit("probe")) < 0.3)
 
 

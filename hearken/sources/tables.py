@@ -28,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_turns(spark: SparkSession, sf_dir: str, max_turns: int | None = MAX_TURNS) -> DataFrame:
+def labelled_turns(spark: SparkSession, sf_dir: str, max_turns: int | None = None) -> DataFrame:
     """documents with labels as dialogues: a turn is a chunk of CHUNK words, toxic is the label.
 
-    dialogue_id, idx, text, label, topic, lang, difficulty, n_turns (after truncation), n_turns_orig.  Without max_turns all turns.
+    dialogue_id, idx, text, label, topic, lang, difficulty, n_turns (after truncation to max_turns, if given), n_turns_orig.
     """
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     turns = tx.chunk_words(F.col("text"), CHUNK)
