@@ -34,9 +34,9 @@ from hearken.llm.components import components
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Of near_duplicates: the shingles' words and the least similarity.
 WORDS, SIMILAR = 5, 0.8
-#: Of similar_links: slots that shingles are counted in, texts whose shingles leave Python at a time, and pairs a row that are
-#: compared without further rounds.
-SLOTS, SLICE, FEW = 1 << 22, 128, 8
+#: Of similar_links: slots that shingles are counted in, texts whose shingles leave Python at a time, pairs a row that are
+#: compared without further rounds, and texts of a shingle that the others are held against in a round.
+SLOTS, SLICE, FEW, HUBS = 1 << 22, 128, 8, 4
 #: Distinct fingerprints that a first-level bucket may have before it is covered a second time.
 BUCKET = 1024
 
@@ -246,15 +246,21 @@ def _sizes_fit(n: str, m: str) -> Column:
     return F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
 
+def _places_fit(n: str, i: str, m: str, j: str) -> Column:
+    """Whether sets of n and m shingles can be alike if their first common one is at places i and j of their orders: what both
+    have from there on must be enough.  The first common shingle of two alike sets passes."""
+    return _sizes_fit(n, m) & (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= (F.col(n) + F.col(m)) * (SIMILAR / (1 + SIMILAR)) - 1e-6)
+
+
 def _frequent(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of shingles (their low bits) that are met far more often than others in a part of the texts, with counts.
 
     This sets the order of shingles only: any order finds all pairs, rare shingles first give fewer candidates.
     """
-    part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(min(16, max(1, n >> 13)))) == 0).select("text")
+    part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(min(4, max(1, n >> 13)))) == 0).select("text")
     slots = stage(part.mapInArrow(_slot_counts, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")), "slots")
     mean = (slots.agg(F.sum("c")).first()[0] or 0) / SLOTS
-    got = slots.filter(F.col("c") > mean + 8 * mean**0.5 + 8).orderBy("slot").toPandas()
+    got = slots.filter(F.col("c") > mean + 5 * mean**0.5 + 5).orderBy("slot").toPandas()
     return got["slot"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
 
 
@@ -262,14 +268,15 @@ def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (doc_id, id, text) and their distinct texts (id, least) -> links (u, v) of pairs of ids with SIMILAR of their
     shingles in common, that connect all such pairs.
 
-    Prefix filter: of n shingles in any common order, two alike texts share one of the first (1 - SIMILAR) * n + 1.  The texts
-    of a shingle are first held against one of them, in rounds with another one each while that joins many; then all pairs
+    Prefix filter: of n shingles in any common order, two alike texts share one of the first (1 - SIMILAR) * n + 1, and the first
+    that they share stands early enough in both for the rest to be as much as they must have in common.  The texts
+    of a shingle are first held against HUBS of them, in rounds with others each while that joins many; then all pairs
     of texts that share a prefix shingle and aren't joined yet are compared, so no pair is left out.
     """
     slots, counts = _frequent(rows, texts.count())
     made = stage(rows.select("id", "text").mapInArrow(_shapes(slots, counts), "id long, n long, parities binary, heads array<long>"), "heads")
-    prefix = made.select("id", "n", F.explode("heads").alias("h")).repartition("h").dropDuplicates(["h", "id"])
-    entries = stage(prefix.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1").select("h", "id", "n"), "entries")
+    prefix = made.select("id", "n", F.posexplode("heads").alias("at", "h")).repartition("h").dropDuplicates(["h", "id"])
+    entries = stage(prefix.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1").select("h", "id", "n", "at"), "entries")
     shapes = stage(made.select("id", "n", "parities").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "shapes")
     found, labelled, before, k = None, entries.withColumn("label", F.col("id")), None, 0
     while True:
@@ -279,22 +286,23 @@ def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
         if not size[0]:
             break
         labelled = labelled.join(open_.select("h"), "h")
-        last = size[0] <= FEW * size[1] or before is not None and size[0] > 0.9 * before
+        last = size[0] <= FEW * size[1] or before is not None and size[0] > 0.8 * before
         if last:
-            one = labelled.groupBy("h", "label").agg(F.collect_list(F.struct("id", "n")).alias("x"))
+            one = labelled.groupBy("h", "label").agg(F.collect_list(F.struct("id", "n", "at")).alias("x"))
             other = one.select("h", F.col("label").alias("label2"), F.col("x").alias("y"))
             both = one.join(other, "h").filter("label < label2").select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b"))
-            pairs = both.filter(_sizes_fit("a.n", "b.n")).select(F.col("a.id").alias("key"), F.col("b.id").alias("hub"))
+            pairs = both.filter(_places_fit("a.n", "a.at", "b.n", "b.at")).select(F.col("a.id").alias("key"), F.col("b.id").alias("hub"))
         else:
-            hubs = labelled.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("r"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("label").alias("label2"))).alias("b"))
-            pairs = labelled.join(hubs.select("h", "b.*"), "h").filter("label <> label2").filter(_sizes_fit("n", "m")).select(F.col("id").alias("key"), "hub")
+            one_of = lambda r: F.min(F.struct(F.xxhash64("id", F.lit(HUBS * k + r)).alias("r"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("at").alias("hub_at"), F.col("label").alias("label2")))  # noqa: B023, E731
+            hubs = labelled.groupBy("h").agg(F.array(*map(one_of, range(HUBS))).alias("b")).select("h", F.inline("b")).drop("r")
+            pairs = labelled.join(hubs, "h").filter("label <> label2").filter(_places_fit("n", "at", "m", "hub_at")).select(F.col("id").alias("key"), "hub")
         same = _verified(pairs.distinct(), shapes, rows, texts)
         found = same if found is None else found.unionByName(same)
         if last:
             break
         before, k = size[0], k + 1
         roots = components(found)
-        labelled = stage(labelled.select("h", "id", "n").join(roots.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select("h", "id", "n", F.coalesce("label", "id").alias("label")), "labelled")
+        labelled = stage(labelled.select("h", "id", "n", "at").join(roots.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select("h", "id", "n", "at", F.coalesce("label", "id").alias("label")), "labelled")
     return texts.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0) if found is None else found
 
 
