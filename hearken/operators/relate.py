@@ -110,9 +110,11 @@ def similar_pairs(items: DataFrame, threshold: float, pool: str = "pool", n: int
     freq = own.groupBy("pool", "g").agg(F.count("*").alias("f"))
     ranked = own.join(freq, ["pool", "g"]).groupBy("pool", "id").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("s"))
     keep = F.size("s") - F.ceil(F.lit(max(threshold, 0.0)) * F.size("s")).cast("int") + 1
-    heads = ranked.select("pool", "id", F.explode(F.slice("s.g", 1, F.least(F.size("s"), F.greatest(F.lit(1), keep)))).alias("g"))
-    a, b = heads.select("pool", "g", F.col("id").alias("a")), heads.select("pool", "g", F.col("id").alias("b"))
-    pairs = a.join(b, ["pool", "g"]).filter("a < b").select("pool", "a", "b").distinct()
+    heads = ranked.select("pool", "id", F.size("s").alias("n"), F.posexplode(F.slice("s.g", 1, F.least(F.size("s"), F.greatest(F.lit(1), keep)))).alias("at", "g"))
+    a, b = (heads.select("pool", "g", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at{x}")) for x in "ab")
+    # the first shingle that two alike sets share stands early enough in both for the rest to be as much as they must have in common
+    enough = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
+    pairs = a.join(b, ["pool", "g"]).filter((F.col("a") < F.col("b")) & enough).select("pool", "a", "b").distinct()
     sets = ranked.select("pool", "id", F.col("s.g").alias("s"))
     pairs = pairs.join(sets.select("pool", F.col("id").alias("a"), F.col("s").alias("sa")), ["pool", "a"]).join(sets.select("pool", F.col("id").alias("b"), F.col("s").alias("sb")), ["pool", "b"])
     return pairs.select("pool", "a", "b", tx.jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).filter((F.col("jaccard") >= threshold) & (F.col("jaccard") > 0))
@@ -134,15 +136,29 @@ def groups(items: DataFrame, pairs: DataFrame) -> DataFrame:
         now = step.drop("old")
 
 
+def similar_groups(items: DataFrame, threshold: float, n: int = 4) -> DataFrame:
+    """(pool, id, group) of items (pool, id, text) by single linkage of similar ones.  Items of one shingle set are compared as one,
+    so copies make no pairs."""
+    sets = F.md5(F.array_join(F.array_sort(tx.shingles(F.col("text"), n)), "\x1f").cast("binary"))
+    keyed = checkpointed(items.select("pool", "id", "text", sets.alias("copy")))
+    one = checkpointed(keyed.groupBy("pool", "copy").agg(F.min("id").alias("of"), F.min_by("text", "id").alias("text")))
+    own = one.select("pool", F.col("of").alias("id"), "text")
+    found = groups(own, similar_pairs(own, threshold, n=n)).withColumnRenamed("id", "of")
+    return keyed.select("pool", "id", "copy").join(one.select("pool", "copy", "of"), ["pool", "copy"]).join(found, ["pool", "of"]).select("pool", "id", "group")
+
+
 def three_way(grouped: DataFrame, seed: str, hold: float = 0.25, val: float = 0.2) -> DataFrame:
     """(pool, id, group, split): whole groups go to holdout, then to val, then to train, in a hash order, at least one each
-    where there are two; Python's rounding of halves to even."""
+    where there are two; Python's rounding of halves to even.  No part of a pool is empty: where one group is left for val and
+    train, both have it, and the one group of a pool is in all three, a row for each."""
     own = grouped.select("pool", "group").distinct().withColumn("o", tx.short_hash(F.concat_ws("|", F.col("pool"), F.col("group").cast("string"), F.lit(seed)), 32))
     own = own.withColumn("k", F.row_number().over(Window.partitionBy("pool").orderBy("o"))).withColumn("n", F.count("*").over(Window.partitionBy("pool")))
     quota = lambda n, share: F.when(n > 1, F.greatest(F.lit(1), F.bround(n * share).cast("int"))).otherwise(0)
     own = own.withColumn("h", quota(F.col("n"), hold)).withColumn("v", quota(F.col("n") - F.col("h"), val))
-    split = F.when(F.col("k") <= F.col("h"), "holdout").when(F.col("k") <= F.col("h") + F.col("v"), "val").otherwise("train")
-    return grouped.join(own.select("pool", "group", split.alias("split")), ["pool", "group"])
+    of = lambda *parts: F.array(*map(F.lit, parts))
+    parts = F.when(F.col("n") == 1, of("holdout", "val", "train")).when(F.col("k") <= F.col("h"), of("holdout")).when(F.col("n") - F.col("h") == 1, of("val", "train"))
+    parts = parts.when(F.col("k") <= F.col("h") + F.col("v"), of("val")).otherwise(of("train"))
+    return grouped.join(own.select("pool", "group", F.explode(parts).alias("split")), ["pool", "group"])
 
 
 def merge_extension(base: DataFrame, extension: DataFrame) -> DataFrame:

@@ -165,14 +165,14 @@ r AS (SELECT id, id AS reach FROM t UNION SELECT r.id, e2.b FROM r JOIN e2 ON r.
 SELECT pool, r.id, min(reach) AS "group" FROM r JOIN t ON r.id = t.id GROUP BY 1, 2""")
 def similarity_groups(s: SparkSession, d: str) -> DataFrame:
     items = table(s, d, "conversations").select(F.col("role").alias("pool"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    return relate.groups(items, relate.similar_pairs(items, 0.5))
+    return relate.similar_groups(items, 0.5)
 
 
 @query(f"""WITH RECURSIVE {_CONV_PAIRS}, e AS (SELECT pool, a, b FROM j WHERE jaccard >= CAST(0.5 AS DOUBLE)), e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT id, id AS reach FROM t UNION SELECT r.id, e2.b FROM r JOIN e2 ON r.reach = e2.a),
 gr AS (SELECT pool, r.id, min(reach) AS g FROM r JOIN t ON r.id = t.id GROUP BY 1, 2), o AS (SELECT pool, g, row_number() OVER (PARTITION BY pool ORDER BY md5(pool || '|' || g || '|42')) AS k, count(*) OVER (PARTITION BY pool) AS n FROM (SELECT DISTINCT pool, g FROM gr)),
 h AS (SELECT *, CASE WHEN n > 1 THEN greatest(1, CAST(round_even(n * 0.25, 0) AS BIGINT)) ELSE 0 END AS h FROM o), v AS (SELECT *, CASE WHEN n - h > 1 THEN greatest(1, CAST(round_even((n - h) * 0.2, 0) AS BIGINT)) ELSE 0 END AS v FROM h)
-SELECT gr.pool, gr.id, gr.g AS "group", CASE WHEN k <= h THEN 'holdout' WHEN k <= h + v THEN 'val' ELSE 'train' END AS split FROM gr JOIN v ON gr.pool = v.pool AND gr.g = v.g""")
+SELECT gr.pool, gr.id, gr.g AS "group", unnest(CASE WHEN n = 1 THEN ['holdout', 'val', 'train'] WHEN k <= h THEN ['holdout'] WHEN n - h = 1 THEN ['val', 'train'] WHEN k <= h + v THEN ['val'] ELSE ['train'] END) AS split FROM gr JOIN v ON gr.pool = v.pool AND gr.g = v.g""")
 def three_way_split(s: SparkSession, d: str) -> DataFrame:
     return relate.three_way(similarity_groups(s, d), "42").select("pool", "id", "group", "split")
 

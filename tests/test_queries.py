@@ -70,6 +70,26 @@ def test_probes_see_whole_dialogues(spark, tmp_path):
     assert [r.k for r in plans.QUERIES["probe_start"](spark, str(tmp_path)).collect()] == [1, 2, 3, None]
 
 
+def test_small_pools_are_in_several_parts(spark):
+    from hearken.operators import relate
+
+    rows = [("one", 1, 1), ("one", 2, 1), ("two", 3, 3), ("two", 4, 4), ("three", 5, 5), ("three", 6, 6), ("three", 7, 7)]
+    got = relate.three_way(spark.createDataFrame(rows, "pool string, id long, group long"), "42").collect()
+    parts = {p: sorted((r.id, r.split) for r in got if r.pool == p) for p in ("one", "two", "three")}
+    assert parts["one"] == sorted((i, x) for i in (1, 2) for x in ("holdout", "train", "val"))
+    held = next(i for i, x in parts["two"] if x == "holdout")
+    assert parts["two"] == sorted([(held, "holdout"), (7 - held, "train"), (7 - held, "val")])
+    assert sorted(x for _, x in parts["three"]) == ["holdout", "train", "val"] and len({i for i, _ in parts["three"]}) == 3
+
+
+def test_copies_are_one_item_of_a_group(spark):
+    from hearken.operators import relate
+
+    texts = ["the caller asks for the code"] * 50 + ["The caller asks for the code!", "the caller asked for a code", "nothing alike here at all"]
+    got = relate.similar_groups(spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "pool string, id long, text string"), 0.5).collect()
+    assert {r.id: r.group for r in got} == {**dict.fromkeys(range(52), 0), 52: 52}
+
+
 def test_learned_queries(spark, small):
     assert all(0 <= r.auc <= 1 for r in plans.QUERIES["federated_rounds"](spark, small).collect())
     assert {r.view for r in plans.QUERIES["probe_style"](spark, small).collect()} == {"punctuation", "lengths"}
