@@ -35,7 +35,7 @@ from hearken.llm.common import open_fs, scratch, small_batches, stage, table
 
 MIN_REVISIT = 100
 #: Of compression: records are small and written twice.
-LEVEL = 3
+LEVEL = 1
 #: The date of records whose source has none.
 DATE = "20200101000000"
 #: The field lists of the two versions of the format; fixed values.
