@@ -37,6 +37,8 @@ WORDS, SIMILAR = 5, 0.8
 #: Of similar_links: slots that shingles are counted in, texts whose shingles leave Python at a time, pairs a row that are
 #: compared without further rounds, and texts of a shingle that the others are held against in a round.
 SLOTS, SLICE, FEW, HUBS = 1 << 22, 128, 8, 4
+#: Bits of the filter that rows pass before an exact join by id: 8 MB, however many ids there are.
+FILTER = 1 << 26
 #: Distinct fingerprints that a first-level bucket may have before it is covered a second time.
 BUCKET = 1024
 
@@ -228,6 +230,21 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"slot": found, "c": often.astype(np.int64)})
 
 
+def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows with __maybe: whether key may be among ids (id), by one bit each of FILTER; where it is false, key certainly isn't.
+
+    Rows that an exact join would drop needn't be shuffled for it.  The bits are at most FILTER / 2**15 rows of 4 kB, and so
+    broadcast whatever the number of ids; with very many ids more rows pass, and the join drops them.
+    """
+    place = lambda c: F.col(c).bitwiseAND(FILTER - 1)
+    low = lambda c: F.col(c).bitwiseAND((1 << 15) - 1)
+    bits = stage(ids.groupBy(F.shiftright(place("id"), 15).alias("__of")).agg(F.bitmap_construct_agg(low("id")).alias("__bits")), "filter")
+    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(low(key), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*[byte.bitwiseAND(1 << i) > 0 for i in range(8)]), (F.col(key).bitwiseAND(7) + 1).cast("int"))
+    own = rows.withColumn("__of", F.shiftright(place(key), 15)).join(F.broadcast(bits), "__of", "left")
+    return own.withColumn("__maybe", F.coalesce(bit, F.lit(False))).drop("__of", "__bits")
+
+
 def _verified(pairs: DataFrame, shapes: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct (key, hub) -> those alike, as links (u, v).  Most that aren't fall by their parities; whole shingle sets are made of
     the texts left only, one of the copies of each."""
@@ -235,7 +252,8 @@ def _verified(pairs: DataFrame, shapes: DataFrame, rows: DataFrame, texts: DataF
     near = stage(both.select("key", "hub", "n", "hub_n", "parities", "hub_parities").mapInArrow(_perhaps, "key long, hub long"), "near")
     left = near.select("key").union(near.select("hub")).distinct()
     of = texts.join(left.withColumnRenamed("key", "id"), "id").select(F.col("id").alias("key"), F.col("least").alias("of"))
-    chosen = rows.join(of, F.col("id").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("key", "text")
+    near_rows = _marked(rows, "id", left.select(F.col("key").alias("id"))).filter("__maybe")
+    chosen = near_rows.join(of, F.col("id").eqNullSafe(F.col("key")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("key", "text")
     sets = stage(chosen.dropDuplicates(["key"]).mapInArrow(_sets, "key long, shingles binary"), "sets")
     hubs = sets.select(F.col("key").alias("hub"), F.col("shingles").alias("hub_shingles"))
     held = near.join(hubs, "hub").join(sets, "key").select("key", "hub", "shingles", "hub_shingles")
