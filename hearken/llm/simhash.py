@@ -335,13 +335,13 @@ def _digest(text: Column) -> Column:
 
 
 def _groups(docs: DataFrame) -> DataFrame:
-    """(id, least, root): a row a distinct text with the smallest doc_id that has it, and its group."""
+    """(id, least, n, root): a row a distinct text with the smallest doc_id that has it, its number of rows, and its group."""
     rows = _named(docs)
     with workspace(docs.sparkSession) as keep:
-        texts = stage(rows.groupBy("id").agg(F.min("doc_id").alias("least")), "texts")
+        texts = stage(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "texts")
         roots = components(similar_links(rows, texts))
         rooted = texts.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
-        return keep(rooted.select("id", "least", F.coalesce("root", "id").alias("root")), "rooted")
+        return keep(rooted.select("id", "least", "n", F.coalesce("root", "id").alias("root")), "rooted")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -357,16 +357,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs of each group of near duplicates: that with the smallest doc_id, null being the largest; of several such
-    rows that with the least digest of its text, then of all its columns."""
+    rows that with the least digest of its text, then of all its columns.  Rows that are alone in their group aren't shuffled."""
     groups = _groups(docs)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "id")).alias("k"))
     first = stage(first.select(F.col("k.id").alias("__id"), F.coalesce(F.col("k.least").cast("string"), F.lit("")).alias("__doc")), "first")
     own = aside(docs, ("doc_id", "text"))
     columns = [F.col(c) for c in own.columns]
     rows = own.withColumn("__id", _digest(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("__doc", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")))
-    stays = rows.join(first, ["__id", "__doc"], "left_semi")
+    several = groups.groupBy("root").agg(F.sum("n").alias("rows")).filter("rows > 1").select("root")
+    rows = _marked(rows, "__id", groups.join(several, "root").select("id"))
+    stays = rows.filter("__maybe").join(first, ["__id", "__doc"], "left_semi")
     one = stays.groupBy("__id", "__doc").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
-    return one.select("row.*").toDF(*docs.columns)
+    return rows.filter("not __maybe").select(*columns).unionByName(one.select("row.*")).toDF(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
