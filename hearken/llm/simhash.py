@@ -225,9 +225,16 @@ def _shapes(slots: np.ndarray, counts: np.ndarray):
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found, often = np.unique(np.concatenate([np.zeros(0, np.int64), *(_shingle_set(t.as_py()) & (SLOTS - 1) for t in b.column("text"))]), return_counts=True)
-        yield pa.RecordBatch.from_pydict({"slot": found, "c": often.astype(np.int64)})
+    """Texts of a task -> counts of the slots that it meets twice or more, and of all shingles, as slot -1."""
+    often, total = np.zeros(SLOTS, np.int32), 0
+    for t in (t for b in batches for t in b.column("text")):
+        found = _shingle_set(t.as_py())
+        np.add.at(often, found & (SLOTS - 1), 1)
+        total += len(found)
+    for a in range(0, SLOTS, 1 << 16):
+        twice = np.flatnonzero(often[a : a + (1 << 16)] > 1)
+        yield pa.RecordBatch.from_pydict({"slot": twice + a, "c": often[twice + a].astype(np.int64)})
+    yield pa.RecordBatch.from_pydict({"slot": pa.array([-1], pa.int64()), "c": pa.array([total], pa.int64())})
 
 
 def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -277,8 +284,8 @@ def _frequent(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """
     part = rows.filter(F.pmod(F.xxhash64("id"), F.lit(min(4, max(1, n >> 13)))) == 0).select("text")
     slots = stage(part.mapInArrow(_slot_counts, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")), "slots")
-    mean = (slots.agg(F.sum("c")).first()[0] or 0) / SLOTS
-    got = slots.filter(F.col("c") > mean + 5 * mean**0.5 + 5).orderBy("slot").toPandas()
+    mean = (slots.filter("slot < 0").agg(F.sum("c")).first()[0] or 0) / SLOTS
+    got = slots.filter("slot >= 0").filter(F.col("c") > mean + 5 * mean**0.5 + 5).orderBy("slot").toPandas()
     return got["slot"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
 
 
