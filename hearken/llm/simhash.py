@@ -37,6 +37,8 @@ WORDS, SIMILAR = 5, 0.8
 #: Of similar_links: slots that shingles are counted in, texts whose shingles leave Python at a time, pairs a row that are
 #: compared without further rounds, and texts of a shingle that the others are held against in a round.
 SLOTS, SLICE, FEW, HUBS = 1 << 22, 128, 8, 4
+#: Texts of a shingle that are compared pair by pair at once; shingles of more texts go through the rounds.
+WHOLE = 16
 #: Bits of the filter that rows pass before an exact join by id: 8 MB, however many ids there are.
 FILTER = 1 << 26
 #: Distinct fingerprints that a first-level bucket may have before it is covered a second time.
@@ -289,21 +291,34 @@ def _frequent(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return got["slot"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
 
 
+def _labelled(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """Entries with label: the component of their id by the links found so far."""
+    roots = components(found).select(F.col("u").alias("id"), F.col("v").alias("label"))
+    return stage(entries.join(roots, "id", "left").select("h", "id", "n", "at", F.coalesce("label", "id").alias("label")), "labelled")
+
+
 def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (doc_id, id, text) and their distinct texts (id, least) -> links (u, v) of pairs of ids with SIMILAR of their
     shingles in common, that connect all such pairs.
 
     Prefix filter: of n shingles in any common order, two alike texts share one of the first (1 - SIMILAR) * n + 1, and the first
-    that they share stands early enough in both for the rest to be as much as they must have in common.  The texts
-    of a shingle are first held against HUBS of them, in rounds with others each while that joins many; then all pairs
-    of texts that share a prefix shingle and aren't joined yet are compared, so no pair is left out.
+    that they share stands early enough in both for the rest to be as much as they must have in common.  Texts of
+    a shingle that at most WHOLE have are compared pair by pair.  Those of others are first held against HUBS of them, in
+    rounds with others each while that joins many; then all pairs of texts that share a prefix shingle and aren't joined
+    yet are compared, so no pair is left out.
     """
     slots, counts = _frequent(rows, texts.count())
     made = stage(rows.select("id", "text").mapInArrow(_shapes(slots, counts), "id long, n long, parities binary, heads array<long>"), "heads")
     prefix = made.select("id", "n", F.posexplode("heads").alias("at", "h")).repartition("h").dropDuplicates(["h", "id"])
-    entries = stage(prefix.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1").select("h", "id", "n", "at"), "entries")
+    entries = stage(prefix.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1").select("h", "id", "n", "at", "m"), "entries")
     shapes = stage(made.select("id", "n", "parities").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "shapes")
-    found, labelled, before, k = None, entries.withColumn("label", F.col("id")), None, 0
+    few = entries.filter(F.col("m") <= WHOLE).groupBy("h").agg(F.collect_list(F.struct("id", "n", "at")).alias("x"))
+    few = few.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).filter("a.id < b.id").filter(_places_fit("a.n", "a.at", "b.n", "b.at"))
+    found = _verified(few.select(F.col("a.id").alias("key"), F.col("b.id").alias("hub")).distinct(), shapes, rows, texts)
+    many = entries.filter(F.col("m") > WHOLE).drop("m")
+    if many.isEmpty():
+        return found
+    labelled, before, k = _labelled(many, found), None, 0
     while True:
         groups = labelled.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("joined"))
         open_ = stage(groups.filter("m * m > joined"), "open")
@@ -322,13 +337,12 @@ def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
             hubs = labelled.groupBy("h").agg(F.array(*map(one_of, range(HUBS))).alias("b")).select("h", F.inline("b")).drop("r")
             pairs = labelled.join(hubs, "h").filter("label <> label2").filter(_places_fit("n", "at", "m", "hub_at")).select(F.col("id").alias("key"), "hub")
         same = _verified(pairs.distinct(), shapes, rows, texts)
-        found = same if found is None else found.unionByName(same)
+        found = found.unionByName(same)
         if last:
             break
         before, k = size[0], k + 1
-        roots = components(found)
-        labelled = stage(labelled.select("h", "id", "n", "at").join(roots.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left").select("h", "id", "n", "at", F.coalesce("label", "id").alias("label")), "labelled")
-    return texts.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0) if found is None else found
+        labelled = _labelled(labelled.drop("label"), found)
+    return found
 
 
 def _named(docs: DataFrame) -> DataFrame:
