@@ -520,7 +520,9 @@ def test_near_duplicates_of_one_vocabulary_are_all_compared(spark):
     assert {r.doc_id: r.keeper for r in got} == dict(enumerate(chained(texts))) and len({r.keeper for r in got}) == 40
 
 
-def test_near_duplicates_are_joined_over_chains_of_edits(spark):
+@pytest.mark.parametrize("whole", [1, simhash.WHOLE])  # with 1, all shingles go through the rounds
+def test_near_duplicates_are_joined_over_chains_of_edits(spark, monkeypatch, whole):
+    monkeypatch.setattr(simhash, "WHOLE", whole)
     rng, texts = random.Random(8), []
     for g in range(20):  # a text, five one-word edits, and a four-word edit of a four-word edit: like each other, not all like one centre
         base = [f"g{g}w{rng.randint(0, 400)}" for _ in range(200)]
