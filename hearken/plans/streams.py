@@ -34,15 +34,17 @@ def _replayed(s: SparkSession, rows: DataFrame, folder: str, files: int) -> Data
     return risk.replay(s, f"{folder}/in", rows.schema, 2)
 
 
+def _by_key(s: SparkSession, rows: DataFrame, key: str, folder: str) -> DataFrame:
+    """rows replayed with all of a key in one file and so in one micro-batch, in which the state puts them in their order."""
+    rows.repartition(key).write.option("maxRecordsPerFile", 0).parquet(f"{folder}/in")
+    return risk.replay(s, f"{folder}/in", rows.schema, 64)
 
 @query(f"{fx.CONV}, {fx.SQL_FLAGS}, {fx.SQL_SCORED} SELECT dialogue_id, idx, score FROM scored")
 def stream_risk(s: SparkSession, d: str) -> DataFrame:
     s.conf.set("spark.sql.streaming.stateStore.providerClass", risk.ROCKS)
     folder = _folder(s)
     turns = fx.flagged_conversations(s, d).select("dialogue_id", "idx", "risk")
-    # one file: turns of a dialogue arrive in their order
-    turns.coalesce(1).sortWithinPartitions("idx", "dialogue_id").write.parquet(f"{folder}/in")
-    out = risk.running_risk(risk.replay(s, f"{folder}/in", turns.schema), 0.9)
+    out = risk.running_risk(_by_key(s, turns, "dialogue_id", folder), 0.9)
     return risk.run_to(out, f"{folder}/out", f"{folder}/state").select("dialogue_id", "idx", "score")
 
 
@@ -105,6 +107,5 @@ def stream_segments(s: SparkSession, d: str) -> DataFrame:
     rows = _frames(s, d).withColumn("done", F.lit(False))
     last = rows.groupBy("user_id").agg((F.max("event_id") + 1).alias("event_id")).withColumn("p", F.lit(0.0)).withColumn("done", F.lit(True))
     both = rows.unionByName(last)
-    both.coalesce(1).sortWithinPartitions("event_id").write.parquet(f"{folder}/in")
-    out = session.segment_stream(risk.replay(s, f"{folder}/in", both.schema), "user_id", "event_id", "p", _LIMITS)
+    out = session.segment_stream(_by_key(s, both, "user_id", folder), "user_id", "event_id", "p", _LIMITS)
     return risk.run_to(out, f"{folder}/out", f"{folder}/state").select("user_id", "start_frame", "end_frame")
