@@ -4,8 +4,9 @@ Each of the 64 bits gets one of the 2**(r+1) - 1 non-zero vectors of r+1 bits; f
 bits whose vector has an odd product with v.  Any r differing bits have vectors that some v is orthogonal to, so under
 that v's mask the two fingerprints are equal: each pair within the radius collides in some table, with certainty.
 
-``classes`` links fingerprints of shingles within the radius and nothing else.  ``near_duplicates`` is for texts that are
-alike by their five-word shingles, whose fingerprints lie too far apart for that: it finds them by an exact prefix filter.
+``classes`` links fingerprints of shingles within the radius and nothing else.  ``near_duplicates`` starts from these classes
+and joins them further: texts that are alike by their five-word shingles, but whose fingerprints lie farther apart, are
+found by an exact prefix filter.
 
 Only distinct fingerprints are compared; copies count as one.  A bucket of more than BUCKET fingerprints is dealt anew by a
 second covering of the bits its mask leaves out, after which a bucket's fingerprints agree in all but a dozen or so
@@ -294,12 +295,18 @@ def _frequent(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _labelled(entries: DataFrame, found: DataFrame) -> DataFrame:
     """Entries with label: the component of their id by the links found so far."""
     roots = components(found).select(F.col("u").alias("id"), F.col("v").alias("label"))
-    return stage(entries.join(roots, "id", "left").select("h", "id", "n", "at", F.coalesce("label", "id").alias("label")), "labelled")
+    return stage(entries.join(roots, "id", "left").select(*entries.columns, F.coalesce("label", "id").alias("label")), "labelled")
 
 
-def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (doc_id, id, text) and their distinct texts (id, least) -> links (u, v) of pairs of ids with SIMILAR of their
-    shingles in common, that connect all such pairs.
+def covered_links(rows: DataFrame) -> DataFrame:
+    """Rows (id, text) -> links (u, v) from each id to the least one of its class of fingerprints, if that is another."""
+    found = classes(rows.select(F.col("id").alias("doc_id"), "text"))
+    return stage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).distinct(), "covered")
+
+
+def similar_links(rows: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (doc_id, id, text), their distinct texts (id, least) and links (u, v) found before -> these and links of pairs of
+    ids with SIMILAR of their shingles in common; together they connect all such pairs.
 
     Prefix filter: of n shingles in any common order, two alike texts share one of the first (1 - SIMILAR) * n + 1, and the first
     that they share stands early enough in both for the rest to be as much as they must have in common.  Texts of
@@ -311,11 +318,12 @@ def similar_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
     made = stage(rows.select("id", "text").mapInArrow(_shapes(slots, counts), "id long, n long, parities binary, heads array<long>"), "heads")
     prefix = made.select("id", "n", F.posexplode("heads").alias("at", "h")).repartition("h").dropDuplicates(["h", "id"])
     entries = stage(prefix.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1").select("h", "id", "n", "at", "m"), "entries")
+    entries = _labelled(entries, found)
     shapes = stage(made.select("id", "n", "parities").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "shapes")
-    few = entries.filter(F.col("m") <= WHOLE).groupBy("h").agg(F.collect_list(F.struct("id", "n", "at")).alias("x"))
-    few = few.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).filter("a.id < b.id").filter(_places_fit("a.n", "a.at", "b.n", "b.at"))
-    found = _verified(few.select(F.col("a.id").alias("key"), F.col("b.id").alias("hub")).distinct(), shapes, rows, texts)
-    many = entries.filter(F.col("m") > WHOLE).drop("m")
+    few = entries.filter(F.col("m") <= WHOLE).groupBy("h").agg(F.collect_list(F.struct("id", "n", "at", "label")).alias("x"))
+    few = few.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).filter("a.id < b.id and a.label <> b.label").filter(_places_fit("a.n", "a.at", "b.n", "b.at"))
+    found = found.unionByName(_verified(few.select(F.col("a.id").alias("key"), F.col("b.id").alias("hub")).distinct(), shapes, rows, texts))
+    many = entries.filter(F.col("m") > WHOLE).drop("m", "label")
     if many.isEmpty():
         return found
     labelled, before, k = _labelled(many, found), None, 0
@@ -360,7 +368,7 @@ def _groups(docs: DataFrame) -> DataFrame:
     rows = _named(docs)
     with workspace(docs.sparkSession) as keep:
         texts = stage(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "texts")
-        roots = components(similar_links(rows, texts))
+        roots = components(similar_links(rows, texts, covered_links(rows)))
         rooted = texts.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left")
         return keep(rooted.select("id", "least", "n", F.coalesce("root", "id").alias("root")), "rooted")
 
@@ -368,8 +376,8 @@ def _groups(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text -> (doc_id, keeper): for every document the smallest doc_id of its group.
 
-    Groups are the connected components of copies of one text and of texts with SIMILAR of their five-word shingles in common;
-    texts without a word are one group.
+    Groups are the connected components of copies of one text, of texts whose fingerprints are within RADIUS bits (the classes of
+    operator 7) and of texts with SIMILAR of their five-word shingles in common; texts without a word are one group.
     """
     groups = _groups(docs)
     keepers = groups.groupBy("root").agg(F.min("least").alias("keeper"))

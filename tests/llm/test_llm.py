@@ -539,6 +539,20 @@ def test_near_duplicates_are_joined_over_chains_of_edits(spark, monkeypatch, who
     assert {r.doc_id: r.keeper for r in got} == dict(enumerate(chained(texts))) and len({r.keeper for r in got}) < 24
 
 
+def test_near_duplicates_hold_the_classes_of_the_operator(spark, odd):
+    """Two texts within 2 bits whose five-word shingles are less than 0.8 alike, and a third far from both."""
+    words = [f"w58x{i}" for i in range(40)]
+    rows = [(3, " ".join(words)), (1, " ".join([*words[:20], "new", *words[21:]])), (2, " ".join(f"z{i}" for i in range(40)))]
+    a, b = (simhash.fingerprint(t) for _, t in rows[:2])
+    assert ((a ^ b) % 2**64).bit_count() <= simhash.RADIUS and chained([t for _, t in rows]) == [0, 1, 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.keeper for r in simhash.near_duplicates(docs).collect()} == {3: 1, 1: 1, 2: 2}
+    assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == [1, 2]
+    for docs in (docs, odd):  # whatever the operator puts in one class is in one group
+        of = simhash.classes(docs).select("doc_id", "component_id").join(simhash.near_duplicates(docs), "doc_id").filter("component_id is not null")
+        assert all(r.n == 1 for r in of.groupBy("component_id").agg(F.countDistinct("keeper").alias("n")).collect())
+
+
 # 8
 
 
