@@ -36,8 +36,8 @@ BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Of near_duplicates: the shingles' words and the least similarity.
 WORDS, SIMILAR = 5, 0.8
 #: Of similar_links: slots that shingles are counted in, texts whose shingles leave Python at a time, pairs a row that are
-#: compared without further rounds, and texts of a shingle that the others are held against in a round.
-SLOTS, SLICE, FEW, HUBS = 1 << 22, 128, 8, 4
+#: compared without further rounds, and texts of a shingle that the others are held against in each round.
+SLOTS, SLICE, FEW, HUBS = 1 << 22, 128, 8, (4, 64)
 #: Texts of a shingle that are compared pair by pair at once; shingles of more texts go through the rounds.
 WHOLE = 16
 #: Bits of the filter that rows pass before an exact join by id: 8 MB, however many ids there are.
@@ -155,10 +155,15 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     return groups.mapInArrow(_links(radius), "u long, v long")
 
 
+def _nodes(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text -> (doc_id, fp) for each document, and (fp, least) for each fingerprint."""
+    fps = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
+    return fps, stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """doc_id, text -> doc_id, fp (signed long), component_id: the smallest doc_id reachable over links."""
-    fps = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
-    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    fps, nodes = _nodes(docs, shingle)
     roots = components(links(nodes.select("fp"), radius, bucket))
     rooted = nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stage(rooted, "rooted")
@@ -270,14 +275,29 @@ def _verified(pairs: DataFrame, shapes: DataFrame, rows: DataFrame, texts: DataF
     return stage(held.mapInArrow(_alike, "key long, hub long, same boolean").filter("same").select(F.col("key").alias("u"), F.col("hub").alias("v")), "verified")
 
 
-def _sizes_fit(n: str, m: str) -> Column:
+def _sizes_fit(n: Column | str, m: Column | str) -> Column:
     return F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
 
-def _places_fit(n: str, i: str, m: str, j: str) -> Column:
-    """Whether sets of n and m shingles can be alike if their first common one is at places i and j of their orders: what both
-    have from there on must be enough.  The first common shingle of two alike sets passes."""
-    return _sizes_fit(n, m) & (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= (F.col(n) + F.col(m)) * (SIMILAR / (1 + SIMILAR)) - 1e-6)
+def _places_fit(a: Column, b: Column) -> Column:
+    """Whether sets of a.n and b.n shingles can be alike if their first common one is at places a.at and b.at of their orders: what
+    both have from there on must be enough.  The first common shingle of two alike sets passes."""
+    return _sizes_fit(a["n"], b["n"]) & (F.least(a["n"] - a["at"], b["n"] - b["at"]) >= (a["n"] + b["n"]) * (SIMILAR / (1 + SIMILAR)) - 1e-6)
+
+
+def _candidates(labelled: DataFrame, hubs: int, k: int) -> DataFrame:
+    """Pairs (key, hub) of ids of two labels that share a shingle at places where they can be alike: those with so many texts of
+    each shingle, others for each k, or with 0 hubs all.  The join itself keeps to places that fit."""
+    if hubs:
+        order = Window.partitionBy("h").orderBy(F.xxhash64("id", F.lit(k)), "id")
+        held = labelled.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= hubs).drop("r")
+        once = F.col("a.id") != F.col("b.id")
+    else:  # b has no more shingles than a; so little may stand before the shared one in b
+        held = labelled.filter(F.col("n") - F.col("at") >= 2 * F.col("n") * (SIMILAR / (1 + SIMILAR)) - 1e-6)
+        once = F.struct("b.n", "b.id") < F.struct("a.n", "a.id")
+    a, b = ({c: F.col(f"{side}.{c}") for c in ("n", "at")} for side in "ab")
+    fit = (F.col("a.h") == F.col("b.h")) & (F.col("a.label") != F.col("b.label")) & once & _places_fit(a, b)
+    return labelled.alias("a").join(held.alias("b"), fit).select(F.greatest("a.id", "b.id").alias("key"), F.least("a.id", "b.id").alias("hub"))
 
 
 def _frequent(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -299,9 +319,13 @@ def _labelled(entries: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def covered_links(rows: DataFrame) -> DataFrame:
-    """Rows (id, text) -> links (u, v) from each id to the least one of its class of fingerprints, if that is another."""
-    found = classes(rows.select(F.col("id").alias("doc_id"), "text"))
-    return stage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).distinct(), "covered")
+    """Rows (id, text) -> links (u, v) of ids: of those of one fingerprint to the least, and of these where the covering tables link
+    their fingerprints.  Their components are those of ``classes``."""
+    fps, nodes = _nodes(rows.select(F.col("id").alias("doc_id"), "text"), SHINGLE)
+    same = fps.join(nodes, "fp").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    u, v = (nodes.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in "uv")
+    near = links(nodes.select("fp")).join(u, "u").join(v, "v").select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
+    return stage(same.unionByName(near).filter("u <> v").distinct(), "covered")
 
 
 def similar_links(rows: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -310,45 +334,34 @@ def similar_links(rows: DataFrame, texts: DataFrame, found: DataFrame) -> DataFr
 
     Prefix filter: of n shingles in any common order, two alike texts share one of the first (1 - SIMILAR) * n + 1, and the first
     that they share stands early enough in both for the rest to be as much as they must have in common.  Texts of
-    a shingle that at most WHOLE have are compared pair by pair.  Those of others are first held against HUBS of them, in
-    rounds with others each while that joins many; then all pairs of texts that share a prefix shingle and aren't joined
-    yet are compared, so no pair is left out.
+    a shingle that at most WHOLE have are compared pair by pair.  Those of others are first held against HUBS of them, more in
+    each round, which joins nearly all that belong together; then all pairs of texts that share a prefix shingle and aren't
+    joined yet are compared, so no pair is left out.
     """
     slots, counts = _frequent(rows, texts.count())
     made = stage(rows.select("id", "text").mapInArrow(_shapes(slots, counts), "id long, n long, parities binary, heads array<long>"), "heads")
     prefix = made.select("id", "n", F.posexplode("heads").alias("at", "h")).repartition("h").dropDuplicates(["h", "id"])
     entries = stage(prefix.withColumn("m", F.count("*").over(Window.partitionBy("h"))).filter("m > 1").select("h", "id", "n", "at", "m"), "entries")
-    entries = _labelled(entries, found)
     shapes = stage(made.select("id", "n", "parities").join(entries.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "shapes")
-    few = entries.filter(F.col("m") <= WHOLE).groupBy("h").agg(F.collect_list(F.struct("id", "n", "at", "label")).alias("x"))
-    few = few.select(F.explode("x").alias("a"), "x").select("a", F.explode("x").alias("b")).filter("a.id < b.id and a.label <> b.label").filter(_places_fit("a.n", "a.at", "b.n", "b.at"))
+    few = entries.filter(F.col("m") <= WHOLE).groupBy("h").agg(F.collect_list(F.struct("id", "n", "at")).alias("x"))
+    fits = lambda a, b: (a["id"] < b["id"]) & _places_fit(a, b)
+    few = few.select(F.explode("x").alias("a"), "x").select("a", F.explode(F.filter("x", lambda b: fits(F.col("a"), b))).alias("b"))
     found = found.unionByName(_verified(few.select(F.col("a.id").alias("key"), F.col("b.id").alias("hub")).distinct(), shapes, rows, texts))
-    many = entries.filter(F.col("m") > WHOLE).drop("m", "label")
+    many = entries.filter(F.col("m") > WHOLE).drop("m")
     if many.isEmpty():
         return found
-    labelled, before, k = _labelled(many, found), None, 0
-    while True:
+    labelled = _labelled(many, found)
+    for k, hubs in enumerate((*HUBS, 0)):
         groups = labelled.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("joined"))
         open_ = stage(groups.filter("m * m > joined"), "open")
         size = open_.agg(F.sum(F.col("m") * F.col("m") - F.col("joined")), F.sum("m")).first()
         if not size[0]:
             break
         labelled = labelled.join(open_.select("h"), "h")
-        last = size[0] <= FEW * size[1] or before is not None and size[0] > 0.8 * before
-        if last:
-            one = labelled.groupBy("h", "label").agg(F.collect_list(F.struct("id", "n", "at")).alias("x"))
-            other = one.select("h", F.col("label").alias("label2"), F.col("x").alias("y"))
-            both = one.join(other, "h").filter("label < label2").select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b"))
-            pairs = both.filter(_places_fit("a.n", "a.at", "b.n", "b.at")).select(F.col("a.id").alias("key"), F.col("b.id").alias("hub"))
-        else:
-            one_of = lambda r: F.min(F.struct(F.xxhash64("id", F.lit(HUBS * k + r)).alias("r"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("at").alias("hub_at"), F.col("label").alias("label2")))  # noqa: B023, E731
-            hubs = labelled.groupBy("h").agg(F.array(*map(one_of, range(HUBS))).alias("b")).select("h", F.inline("b")).drop("r")
-            pairs = labelled.join(hubs, "h").filter("label <> label2").filter(_places_fit("n", "at", "m", "hub_at")).select(F.col("id").alias("key"), "hub")
-        same = _verified(pairs.distinct(), shapes, rows, texts)
-        found = found.unionByName(same)
+        last = not hubs or size[0] <= FEW * size[1]
+        found = found.unionByName(_verified(_candidates(labelled, 0 if last else hubs, k).distinct(), shapes, rows, texts))
         if last:
             break
-        before, k = size[0], k + 1
         labelled = _labelled(labelled.drop("label"), found)
     return found
 

@@ -553,6 +553,38 @@ def test_near_duplicates_hold_the_classes_of_the_operator(spark, odd):
         assert all(r.n == 1 for r in of.groupBy("component_id").agg(F.countDistinct("keeper").alias("n")).collect())
 
 
+def rows_made(node):
+    """The most rows that a join or an explode of an executed plan made."""
+    kind, more = node.getClass().getSimpleName(), []
+    if kind == "AdaptiveSparkPlanExec":
+        more = [node.executedPlan()]
+    elif kind.endswith("QueryStageExec"):
+        more = [node.plan()]
+    own = node.metrics().get("numOutputRows")
+    n = own.get().value() if own.isDefined() and ("Join" in kind or "Generate" in kind) else 0
+    return max([n, *map(rows_made, more), *(rows_made(node.children().apply(i)) for i in range(node.children().size()))])
+
+
+def test_near_copies_that_are_not_alike_make_few_rows(spark, monkeypatch):
+    rng, texts, made = random.Random(3), [[f"w{i}" for i in range(100)]], []
+    while len(texts) < 400:  # edits of edits of one text: all share shingles, far from all are alike
+        texts.append(list(rng.choice(texts)))
+        for at in rng.sample(range(100), 3):
+            texts[-1][at] = f"e{len(texts)}x{at}"
+    texts = [" ".join(t) for t in texts]
+
+    def verified(pairs, *rest, of=simhash._verified):
+        pairs.collect()
+        made.append(rows_made(pairs._jdf.queryExecution().executedPlan()))
+        return of(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", verified)
+    got = {r.doc_id: r.keeper for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    alike = chained(texts)
+    assert all(got[i] == got[root] for i, root in enumerate(alike))
+    assert max(made) < 20 * len(texts), made
+
+
 # 8
 
 
