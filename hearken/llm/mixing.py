@@ -9,7 +9,8 @@ which they fill up).
 A source's documents stand in the order of a hash of their id and follow each other epoch by epoch until the target is used
 up; the last one taken may be taken in part.  The fraction of the source's demand that lies before an occurrence is put
 through the inverse of the integrated schedule, which gives its training position in [0, 1); the mix is the occurrences
-range-sorted by position.
+range-sorted by position.  ``planned`` places the occurrences, ``mixed`` writes them in that order and gathers from them what
+the mix has of each document, ``mixed_rows`` gives the documents themselves in that order.
 
 Running sums never need a source in one task: documents are dealt by (source, bucket of the hash), buckets are summed
 first, and the running sum over buckets is added to that inside a bucket.  Buckets grow in number with the table.
@@ -83,10 +84,10 @@ def position(fraction: Column, place: Column, schedules: list[list[tuple[float,
     return out
 
 
-def mixed(docs: DataFrame, weights: list[float] = WEIGHTS, schedules=SCHEDULES, max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each document: doc_id, source, size, source_size, target, taken, and occurrences, an array of
-    (epoch, words, position), empty if the mix takes nothing of it; and the columns to carry, which tell apart documents of one
-    id and size."""
+def planned(docs: DataFrame, weights: list[float] = WEIGHTS, schedules=SCHEDULES, max_epochs: int = MAX_EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, place (of its source), start (the source's words before
+    it), and occurrences, an array of (epoch, words, position), empty if the mix takes nothing of it; and the columns to carry,
+    which tell apart documents of one id and size."""
     rows = stage(sized(docs, carry), "sized")
     sums = stage(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
     want = stage(targets(sums.select("source", "source_size"), weights, max_epochs), "targets")
@@ -113,8 +114,7 @@ def mixed(docs: DataFrame, weights: list[float] = WEIGHTS, schedules=SCHEDULES,
 
     all_of = F.array(*[occurrence(e) for e in range(max_epochs)])
     both = both.withColumn("occurrences", F.filter(all_of, lambda x: x["words"] > 0))
-    both = both.withColumn("taken", F.aggregate("occurrences", F.lit(0).cast("long"), lambda n, x: n + x["words"]))
-    return both.select("doc_id", "source", "size", "source_size", "target", "taken", "occurrences", *carry)
+    return both.select("doc_id", "source", "size", "source_size", "target", "place", "start", "occurrences", *carry)
 
 
 def in_order(rows: DataFrame, position: str, *ties: str) -> DataFrame:
@@ -122,6 +122,18 @@ def in_order(rows: DataFrame, position: str, *ties: str) -> DataFrame:
     return rows.repartitionByRange(position, *ties).sortWithinPartitions(position, *ties)
 
 
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """A row for each document: doc_id, source, size, source_size, target, taken, and occurrences, an array of
+    (epoch, words, position), empty if the mix takes nothing of it.  Both come from the mix, which is written in training order."""
+    plan = stage(planned(docs, **settings), "plan")
+    key = ["place", "start", "size"]  # no two documents with words have one start in their source
+    mix = stage(in_order(plan.select("doc_id", "source", *key, F.inline("occurrences")), "position", *key, "epoch"), "mix")
+    own = mix.groupBy(*key).agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("epoch", "words", "position"))).alias("found"))
+    none = F.array().cast(plan.schema["occurrences"].dataType)
+    rows = plan.drop("occurrences").join(own, key, "left")
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("found", none).alias("occurrences"))
+
+
 def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     """docs' rows as often as the mix takes them, in training order.  The one document of a source that is taken in part
     comes whole if the mix takes half of it at least.
@@ -133,7 +145,7 @@ def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     every = [F.col(c) for c in named.columns]
     every += [c.isNull() for c in every]
     rows = named.withColumn("__h1", F.xxhash64(*every)).withColumn("__h2", F.xxhash64(F.lit("2"), *every))
-    mix = mixed(rows, **settings, carry=("__h1", "__h2"))
+    mix = planned(rows, **settings, carry=("__h1", "__h2"))
     whole = F.filter("occurrences", lambda x: 2 * x["words"] >= F.col("size"))
     taken = stage(mix.select("__h1", "__h2", F.inline(whole)).select("__h1", "__h2", F.col("position").alias("__at"), "epoch"), "mix")
     joined = rows.dropDuplicates(["__h1", "__h2"]).join(taken, ["__h1", "__h2"])

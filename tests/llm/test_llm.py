@@ -301,6 +301,29 @@ def test_mixed_rows_leave_nothing_to_chance(spark):
         assert abs(sum(len(t.split()) for _, t, s in out if s == source) - n) <= 9
 
 
+def test_the_query_of_the_mix_comes_from_the_mix_in_training_order(spark, small, monkeypatch):
+    made = []
+    monkeypatch.setattr(mixing, "stage", lambda df, name, of=mixing.stage: made.append((name, of(df, name))) or made[-1][1])
+    rows = mixing.op4_mixing(spark, small).collect()
+    mix = dict(made)["mix"].select("*", "_metadata.file_name", "_metadata.row_index").collect()
+    mix.sort(key=lambda r: (r.file_name, r.row_index))
+    assert [r.position for r in mix] == sorted(r.position for r in mix)
+    taken, first = {}, {}
+    for r in mix:
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.words
+        first.setdefault(r.doc_id, round(r.position, 6))
+    assert len(taken) == len(first) > 100
+    assert {r.doc_id: (r.taken, r.position) for r in rows if r.taken} == {d: (taken[d], first[d]) for d in taken}
+    # each source's words in each third of the time are what its integrated schedule asks for
+    for place, knots in enumerate(mixing.SCHEDULES):
+        own = [r for r in mix if r.place == place]
+        ts, words = np.linspace(0, 1, 3001), sum(r.words for r in own)
+        hs = np.interp(ts, *zip(*knots, strict=True))
+        for k in range(3):
+            share = np.trapezoid(hs[1000 * k : 1000 * k + 1001], ts[1000 * k : 1000 * k + 1001]) / np.trapezoid(hs, ts)
+            assert abs(sum(r.words for r in own if k <= 3 * r.position < k + 1) - share * words) <= 2 * max((r.words for r in own), default=0)
+
+
 # 5
 
 
