@@ -70,7 +70,8 @@ def gradients(rows: DataFrame, weights: dict[int, list[float]], dims: int) -> di
                 p = 1 / (1 + np.exp(-np.clip(x @ np.array(weights[bank]), -30, 30)))
                 g = x.T @ (p - part["y"].to_numpy())
                 sums[bank] = sums.get(bank, np.zeros(dims + 2)) + np.append(g, len(part))
-        yield pd.DataFrame({"bank": list(sums), "v": [v.tolist() for v in sums.values()]})
+        if sums:  # a task may have no rows, and Arrow takes no empty column as one of arrays
+            yield pd.DataFrame({"bank": list(sums), "v": [v.tolist() for v in sums.values()]})
 
     parts = rows.select("bank", "x", "y").mapInPandas(run, "bank int, v array<double>")
     total = parts.select("bank", F.posexplode("v").alias("pos", "g")).groupBy("bank", "pos").agg(F.sum("g").alias("g")).collect()
