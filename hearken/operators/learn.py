@@ -6,15 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearken.functions import text as tx
-from hearken.operators import evaluate, federate
+from hearken.operators import evaluate, federate, relate
 
 
 def char_grams(c: Column, low: int = 2, high: int = 5) -> Column:
@@ -24,15 +27,89 @@ def char_grams(c: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.flatten(F.array(*[of(w, n) for n in range(low, high + 1)]))))
 
 
-def probe(train: DataFrame, test: DataFrame, tokens: str, c: float, features: int = 1 << 16, min_docs: int = 2) -> DataFrame:
-    """AUC on test of a logistic regression on TF-IDF of a column of tokens: above a limit, that view gives the class away."""
+def _bucket(term: bytes, features: int) -> int:
+    """The place of a term as HashingTF has it: Murmur3 with seed 42."""
+    low, h = 0xFFFFFFFF, 42
+    for i in range(0, len(term), 4):
+        k = int.from_bytes(term[i : i + 4], "little") * 0xCC9E2D51 & low
+        h ^= (k << 15 | k >> 17) * 0x1B873593 & low
+        if i + 4 <= len(term):
+            h = ((h << 13 | h >> 19) & low) * 5 + 0xE6546B64 & low
+    h ^= len(term)
+    h = (h ^ h >> 16) * 0x85EBCA6B & low
+    h = (h ^ h >> 13) * 0xC2B2AE35 & low
+    h ^= h >> 16
+    return (h - (h >> 31 << 32)) % features
+
+
+def _gram_counts(words: list[str], ends: list[int], known: dict[str, np.ndarray], places: dict[str, int], low: int, high: int, features: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and counts of the character n-grams of the first so many words, for each of ends."""
+    for w in words:
+        if w not in known:
+            p = f" {w} "
+            grams = [p[i : i + n] for n in range(low, high + 1) for i in range(max(1, len(p) - n + 1))]
+            for g in grams:
+                if g not in places:
+                    places[g] = _bucket(g.encode("utf-8", "surrogatepass"), features)
+            known[w] = np.array([places[g] for g in grams], dtype=np.int32)
+    each = [known[w] for w in words]
+    return [np.unique(np.concatenate(each[:e]), return_counts=True) for e in ends]
+
+
+def staged(rows: DataFrame, vectors: list[str]) -> DataFrame:
+    """rows written and read again, vectors (structs of type, size, indices, values) as ML has them."""
+    out = relate.checkpointed(rows)
+    kinds = T.StructType([T.StructField(f.name, VectorUDT()) if f.name in vectors else f for f in out.schema])
+    return rows.sparkSession.read.schema(kinds).parquet(*out.inputFiles())
+
+
+def prefix_gram_counts(rows: DataFrame, text: str, prefixes: dict[str, int | None], low: int = 2, high: int = 4, features: int = 1 << 16) -> DataFrame:
+    """rows without a text of words, in lower case, between single spaces, and with a vector for each prefix (so many of the words, all
+    for None): what HashingTF counts of its char_grams.  The texts are gone through once, and grams are hashed once a task."""
+    vector = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        places: dict[str, int] = {}
+        for b in (b.slice(i, 500) for b in batches for i in range(0, len(b), 500)):
+            found: dict[str, list] = {name: [] for name in prefixes}
+            for x in b.column(text).to_pylist():
+                for seen, most in ((known, 200_000), (places, 1_000_000)):  # a bound of the memory only
+                    if len(seen) > most:
+                        seen.clear()
+                words = x.split(" ")
+                ends = [len(words) if k is None else min(k, len(words)) for k in prefixes.values()]
+                for name, got in zip(prefixes, _gram_counts(words, ends, known, places, low, high, features), strict=True):
+                    found[name].append(got)
+            own = [c for c in b.schema.names if c != text]
+            columns = [b.column(c) for c in own]
+            for pairs in found.values():
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(i) for i, _ in pairs])]), pa.int32())
+                indices = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([i for i, _ in pairs] or [[]]), pa.int32()))
+                values = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([c for _, c in pairs] or [[]]), pa.float64()))
+                columns.append(pa.StructArray.from_arrays([pa.array(np.zeros(len(b)), pa.int8()), pa.array(np.full(len(b), features), pa.int32()), indices, values], fields=list(vector)))
+            yield pa.RecordBatch.from_arrays(columns, names=own + list(prefixes))
+
+    kind = VectorUDT.sqlType()
+    schema = T.StructType([f for f in rows.schema if f.name != text] + [T.StructField(name, kind) for name in prefixes])
+    return staged(rows.mapInArrow(run, schema), list(prefixes))
+
+
+def probe_counts(train: DataFrame, test: DataFrame, counts: str, c: float, min_docs: int = 2) -> DataFrame:
+    """AUC on test of a logistic regression on TF-IDF of a column of counted terms, which should be at hand: it is read many times."""
     n = train.count()
-    stages = [HashingTF(inputCol=tokens, outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="x", minDocFreq=min_docs), LogisticRegression(featuresCol="x", labelCol="label", maxIter=100, regParam=1 / (c * max(1, n)))]
-    model = Pipeline(stages=stages).fit(train.select(tokens, F.col("label").cast("double").alias("label")))
-    out = model.transform(test.select(tokens, F.col("label").cast("double").alias("label")))
+    stages = [IDF(inputCol=counts, outputCol="x", minDocFreq=min_docs), LogisticRegression(featuresCol="x", labelCol="label", maxIter=100, regParam=1 / (c * max(1, n)))]
+    model = Pipeline(stages=stages).fit(train.select(counts, F.col("label").cast("double").alias("label")))
+    out = model.transform(test.select(counts, F.col("label").cast("double").alias("label")))
     return evaluate.roc_auc(out.select(F.col("label").cast("int").alias("label"), F.round(vector_to_array("probability")[1], 9).alias("peak")))
 
 
+def probe(train: DataFrame, test: DataFrame, tokens: str, c: float, features: int = 1 << 16, min_docs: int = 2) -> DataFrame:
+    """AUC on test of a logistic regression on TF-IDF of a column of tokens: above a limit, that view gives the class away."""
+    hashed = HashingTF(inputCol=tokens, outputCol="tf", numFeatures=features)
+    return probe_counts(*[relate.checkpointed(hashed.transform(x.select(tokens, "label")).select("tf", "label")) for x in (train, test)], "tf", c, min_docs)
+
+
 def scorer(prefixes: DataFrame, score: Callable[[list[str]], list[float]], text: str = "text") -> DataFrame:
     """A model's score for each prefix: `score` gets the texts of a batch, shortest first, as padding costs least so."""
 
