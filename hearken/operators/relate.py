@@ -152,8 +152,24 @@ def three_way(grouped: DataFrame, seed: str, hold: float = 0.25, val: float = 0.
     return grouped.join(own.select("pool", "group", F.explode(parts).alias("split")), ["pool", "group"])
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with `number`, their place from 0 on by `order` among those equal in `by`.
+
+    Rows are sorted in ranges and written; a row's number comes from its place in its file and the counts of the files before,
+    so no task holds all rows of a group, however large.
+    """
+    at = checkpointed(rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order))
+    at = at.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    counts = at.groupBy("file", *by).agg(F.count("*").alias("c"), F.min("row").alias("low"), F.min(F.struct(*order)).alias("from"))
+    under = Window.partitionBy(*by).orderBy("from").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (F.coalesce(F.sum("c").over(under), F.lit(0)) - F.col("low")).alias("shift")
+    counts = counts.select(F.col("file").alias("in_file"), *[F.col(c).alias(f"in_{c}") for c in by], shift)
+    same = [F.col(c).eqNullSafe(F.col(f"in_{c}")) for c in ("file", *by)]
+    return at.join(F.broadcast(counts), same).select(*rows.columns, (F.col("row") + F.col("shift")).alias("number"))
+
+
 def merge_extension(base: DataFrame, extension: DataFrame) -> DataFrame:
     """Pools (path, lang, pos, line) and those of an extension: base lines first, then new ones, each once in a pool."""
     both = base.withColumn("src", F.lit(0)).unionByName(extension.withColumn("src", F.lit(1)))
     first = both.groupBy("path", "lang", "line").agg(F.min(F.struct("src", "pos")).alias("o"))
-    return first.select("path", "lang", (F.row_number().over(Window.partitionBy("path", "lang").orderBy("o.src", "o.pos")) - 1).alias("pos"), "line")
+    return numbered(first.select("path", "lang", "line", "o.src", "o.pos"), ["path", "lang"], ["src", "pos"]).select("path", "lang", F.col("number").alias("pos"), "line")
